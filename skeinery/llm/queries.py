@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinery.llm import encode, lines, split
+from skeinery.llm import encode, lines, neardup, neighbors, split
 from skeinery.session import prepare, table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbors.undirected(neighbors.neighbor_pairs(table(prepare(spark), d, "embedding_data")))
+
+
+def p2_neighbors(spark: SparkSession, d: str) -> DataFrame:
+    near = neighbors.neighbor_pairs(table(prepare(spark), d, "embedding_data"))
+    return near.select("vec_id", "other_id", F.round("cos", 6).alias("cos"), "rank")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     pieces = split.split_texts(table(prepare(spark), d, "chunks"))
     return pieces.where(F.col("piece_no") == 1).select("chunk_id")
@@ -28,15 +37,27 @@ def p4_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return lines.without_lines(table(prepare(spark), d, "page_records"), p4_found(spark, d))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_pairs(table(prepare(spark), d, "page_records"))
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_groups(table(prepare(spark), d, "page_records"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_corpus(table(prepare(spark), d, "documents"))
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_neighbors": p2_neighbors,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p4_found": p4_found,
     "p4_cleaned": p4_cleaned,
+    "p6_found": p6_found,
+    "p6_groups": p6_groups,
     "p8_ids": p8_ids,
 }
 
@@ -51,7 +72,38 @@ WITH l AS (
 )
 """
 
+_NEIGHBORS = """
+WITH v AS (
+  SELECT DISTINCT vec_id, model, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embedding_data
+  WHERE len(embedding) = dimensions AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), p AS (
+  SELECT a.vec_id AS vec_id, b.vec_id AS other_id, list_cosine_similarity(a.e, b.e) AS cos FROM v a JOIN v b ON a.model = b.model AND a.vec_id <> b.vec_id
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY round(cos, 12) DESC, other_id) AS INTEGER) AS rank FROM p WHERE cos >= 0.8
+)
+"""
+
+_GRAMS = r"""
+WITH w AS (
+  SELECT DISTINCT page_id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS w FROM page_records
+), g AS (
+  SELECT page_id, list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) AS g FROM w WHERE len(w) >= 3
+), n AS (
+  SELECT page_id, len(g) AS n FROM g
+), e AS (
+  SELECT page_id, unnest(g) AS k FROM g
+), c AS (
+  SELECT a.page_id AS x, b.page_id AS y, count(*) AS c FROM e a JOIN e b ON a.k = b.k AND a.page_id < b.page_id GROUP BY ALL
+)
+"""
+
 SQL = {
+    "p2_found": _NEIGHBORS + "SELECT DISTINCT least(vec_id, other_id) AS vec_id_a, greatest(vec_id, other_id) AS vec_id_b FROM r WHERE rank <= 5",
+    "p2_neighbors": _NEIGHBORS + "SELECT vec_id, other_id, round(cos, 6) AS cos, rank FROM r WHERE rank <= 5",
+    "p6_found": _GRAMS
+    + """SELECT x AS page_id_a, y AS page_id_b FROM c JOIN n a ON a.page_id = c.x JOIN n b ON b.page_id = c.y
+         WHERE c.c / (a.n + b.n - c.c) >= 0.6 - 1e-12""",
     "p3_found": "SELECT DISTINCT chunk_id FROM chunks WHERE octet_length(encode(chunk_text)) // 4 + 1 > 512",
     "p4_found": _LINES + "SELECT page_id, CAST(line_no AS INTEGER) AS line_no FROM hit",
     "p4_cleaned": _LINES

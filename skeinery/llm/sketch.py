@@ -1,0 +1,22 @@
+"""Counts of keys over a whole corpus in a table of fixed size."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Cells of the table, whatever the corpus: 8 MB at most on the driver and in a broadcast.
+CELLS = 1 << 20
+
+
+def count_cells(df: DataFrame, key: Column, cells: int = CELLS, weight: Column | None = None) -> np.ndarray:
+    """Per cell, how many rows have a 64-bit ``key`` falling there: an upper bound of each key's count.
+
+    Only the ``cells`` sums reach the driver, never keys; the aggregation combines before its shuffle.
+    """
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    pdf = df.groupBy(F.pmod(key, F.lit(cells)).cast("int").alias("cell")).agg(n.alias("n")).toPandas()
+    out = np.zeros(cells, np.int64)
+    out[pdf["cell"].to_numpy(np.int64)] = pdf["n"].to_numpy(np.int64)
+    return out
