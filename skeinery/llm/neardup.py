@@ -87,7 +87,7 @@ def postings(reps: DataFrame, t: float, order_bits: int = ORDER_BITS, block: int
     """
     cells = 1 << order_bits
     counts = count_cells(reps.select(F.explode("grams").alias("g")), F.col("g"), cells)
-    shared = reps.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 32) - 1).astype(np.uint32))
+    shared = reps.sparkSession.sparkContext.broadcast(counts)
     top = (1 << (32 - order_bits)) - 1
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:

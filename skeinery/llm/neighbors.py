@@ -158,7 +158,7 @@ def entries(reps: DataFrame, index: Index, queries_only: str | None = None) -> D
                 yield pd.DataFrame({"key": keys, "n": n})
 
     counts = count_cells(reps.select("vec_id", "model", "embedding").mapInPandas(home, "key bigint, n bigint"), F.col("key"), weight=F.col("n"))
-    shared = reps.sparkSession.sparkContext.broadcast(np.minimum(counts, 1 << 31).astype(np.uint32))
+    shared = reps.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashers = _hashers(index)
