@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinery.llm import encode, lines, neardup, neighbors, split
+from skeinery.llm import encode, lines, mix, neardup, neighbors, sentences, split
 from skeinery.session import prepare, table
 
 
@@ -49,6 +49,23 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_corpus(table(prepare(spark), d, "documents"))
 
 
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    sized = encode.count_tokens(table(prepare(spark), d, "documents").select("doc_id", "source", "text"))
+    return mix.mix(sized, table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix.shares(p9_mix(spark, d), table(spark, d, "mix_targets"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_sentences(spark, d).select("doc_id", "start_pos")
+
+
+def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.split_sentences(table(prepare(spark), d, "documents"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_neighbors": p2_neighbors,
@@ -59,6 +76,10 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_groups": p6_groups,
     "p8_ids": p8_ids,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_sentences": p10_sentences,
 }
 
 _LINES = r"""
