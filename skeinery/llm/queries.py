@@ -5,10 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinery.llm import encode, lines, mix, neardup, neighbors, sentences, split
+from skeinery.llm import boilerplate, encode, lines, mix, neardup, neighbors, residue, sentences, split
 from skeinery.session import prepare, table
 
 
+def _line_model(pages: DataFrame, results: DataFrame) -> boilerplate.Model:
+    half = boilerplate.TRAIN_PAGES // 2
+    return boilerplate.train_model(boilerplate.sample(pages, "page_id", half) + boilerplate.sample(results, "result_id", half))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    pages, results = table(prepare(spark), d, "page_records"), table(spark, d, "crawl_results")
+    both = pages.select(F.lit("page_records").alias("table_name"), F.col("page_id").alias("rec_id"), "content", "title", "url").unionByName(
+        results.select(F.lit("crawl_results").alias("table_name"), F.col("result_id").alias("rec_id"), "content", "title", "url")
+    )
+    keyed = both.select(F.struct("table_name", "rec_id").alias("key"), "content", "title", "url")
+    marked = boilerplate.main_lines(keyed, "key", _line_model(pages, results))
+    return marked.where(~F.col("main")).select("key.table_name", "key.rec_id", "line_no").distinct()
+
+
+def p1_main_pages(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(prepare(spark), d, "page_records")
+    return boilerplate.main_text(pages, "page_id", _line_model(pages, table(spark, d, "crawl_results")))
+
+
+def p1_main_results(spark: SparkSession, d: str) -> DataFrame:
+    results = table(prepare(spark), d, "crawl_results")
+    return boilerplate.main_text(results, "result_id", _line_model(table(spark, d, "page_records"), results))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbors.undirected(neighbors.neighbor_pairs(table(prepare(spark), d, "embedding_data")))
 
@@ -37,6 +62,21 @@ def p4_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return lines.without_lines(table(prepare(spark), d, "page_records"), p4_found(spark, d))
 
 
+def _judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    results = table(prepare(spark), d, "crawl_results")
+    model, _ = residue.train(residue.sample(results))
+    return results, residue.judge(results, model)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(spark, d)[1].where("residue").select("result_id")
+
+
+def p5_real(spark: SparkSession, d: str) -> DataFrame:
+    results, judged = _judged(spark, d)
+    return residue.without_residue(results.select("result_id", "url", "title", "content", "http_status", "error"), judged)
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_pairs(table(prepare(spark), d, "page_records"))
 
@@ -67,12 +107,17 @@ def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_main_pages": p1_main_pages,
+    "p1_main_results": p1_main_results,
     "p2_found": p2_found,
     "p2_neighbors": p2_neighbors,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p4_found": p4_found,
     "p4_cleaned": p4_cleaned,
+    "p5_found": p5_found,
+    "p5_real": p5_real,
     "p6_found": p6_found,
     "p6_groups": p6_groups,
     "p8_ids": p8_ids,
