@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import os
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -138,6 +139,12 @@ class ChunkEncoder:
         return out
 
 
+@lru_cache(2)
+def encoder(tokenizer_dir: str, name: str) -> ChunkEncoder:
+    """The process's encoder of a vocabulary; tasks that a worker runs one after another share it."""
+    return ChunkEncoder(tokenizer_dir, name)
+
+
 def encode_corpus(docs: DataFrame, tokenizer_dir: str = TOKENIZER_DIR, name: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``ids`` (array<int>), one row per input row, in one pass without a shuffle.
 
@@ -147,9 +154,8 @@ def encode_corpus(docs: DataFrame, tokenizer_dir: str = TOKENIZER_DIR, name: str
     """
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = None
+        enc = encoder(tokenizer_dir, name)
         for pdf in batches:
-            enc = enc or ChunkEncoder(tokenizer_dir, name)
             yield pd.DataFrame({id_col: pdf[id_col], "ids": [enc.encode(t) for t in pdf[text_col]]})
 
     kind = dict(docs.dtypes)[id_col]
@@ -161,9 +167,8 @@ def count_tokens(docs: DataFrame, tokenizer_dir: str = TOKENIZER_DIR, name: str
     keep = [c for c in docs.columns if c not in (text_col, out)]
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = None
+        enc = encoder(tokenizer_dir, name)
         for pdf in batches:
-            enc = enc or ChunkEncoder(tokenizer_dir, name)
             got = pdf[keep].copy()
             got[out] = [len(enc.encode(t)) for t in pdf[text_col]]
             yield got

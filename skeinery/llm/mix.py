@@ -122,9 +122,10 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     got = mixed.groupBy("source").agg(
         F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("drawn"), F.count_distinct("doc_id").alias("documents"), (F.max("copy") + 1).alias("most_repeats")
     )
-    total = got.agg(F.sum("tokens").alias("all_tokens"))
+    got = cut(got)  # a row per source
+    total = got.agg(F.sum("tokens")).first()[0] or 1
     named = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.max("target_share").alias("target_share"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return named.join(got, "source", "left").crossJoin(F.broadcast(total)).select(
-        "source", "target_share", F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)).alias("reached_share"), zero("tokens"), zero("drawn"), zero("documents"), zero("most_repeats")
+    return named.join(got, "source", "left").select(
+        "source", "target_share", F.coalesce(F.col("tokens") / F.lit(total), F.lit(0.0)).alias("reached_share"), zero("tokens"), zero("drawn"), zero("documents"), zero("most_repeats")
     )

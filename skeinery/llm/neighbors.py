@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skeinery.llm.sketch import CELLS, count_cells
+from skeinery.operators.skew import keyed_join
 from skeinery.session import cut
 
 
@@ -143,7 +144,7 @@ def _blocks(counts: np.ndarray, keys: np.ndarray, block: int) -> np.ndarray:
     return np.maximum(1, -(-counts[keys % len(counts)] // block))
 
 
-def entries(reps: DataFrame, index: Index, queries_only: str | None = None) -> DataFrame:
+def entries(reps: DataFrame, index: Index) -> DataFrame:
     """Rows of the buckets: key, cell, probe (0 stored, 1 visiting), vec_id, s0, s1.
 
     A bucket with more stored rows than ``index.block`` is split into cells; stored
@@ -224,7 +225,7 @@ def neighbor_pairs(vectors: DataFrame, min_cos: float = 0.8, k: int = 5, index:
     the k first members only, so that copies cost no pairs. An empty table gives an empty result.
     """
     index = index or Index()
-    good = usable(vectors).withColumn("cls", F.xxhash64("model", F.size("embedding"), "embedding"))
+    good = usable(vectors).withColumn("cls", F.concat_ws("-", F.xxhash64("model", F.size("embedding"), "embedding"), F.xxhash64(F.lit("second"), "embedding", "model")))
     members = cut(good)
     by_class = W.partitionBy("cls")
     reps = cut(members.groupBy("cls").agg(F.min("vec_id").alias("vec_id"), F.min_by(F.struct("model", "embedding"), "vec_id").alias("r"), F.count(F.lit(1)).alias("n")).select("cls", "vec_id", "r.model", "r.embedding", "n"))
@@ -250,8 +251,8 @@ def neighbor_pairs(vectors: DataFrame, min_cos: float = 0.8, k: int = 5, index:
     own = first.where(F.size("ids") > 1).select("rep", F.explode("ids").alias("other_id"), F.lit(1.0).alias("cos"))
     lists = near.unionByName(own).withColumn("r", F.row_number().over(W.partitionBy("rep").orderBy(F.desc("cos"), "other_id"))).where(F.col("r") <= k + 1)
     listed = lists.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("r", "other_id", "cos"))).alias("found"))
-    of_class = reps.select("cls", F.col("vec_id").alias("rep")).join(listed, "rep")
-    out = members.select("vec_id", "cls").join(of_class, "cls").select("vec_id", F.slice(F.filter("found", lambda s: s["other_id"] != F.col("vec_id")), 1, k).alias("found"))
+    of_class = reps.select("cls", F.col("vec_id").alias("rep"), "n").join(listed, "rep")
+    out = keyed_join(members.select("vec_id", "cls"), of_class, ["cls"], "n").select("vec_id", F.slice(F.filter("found", lambda s: s["other_id"] != F.col("vec_id")), 1, k).alias("found"))
     return out.select("vec_id", F.posexplode("found").alias("pos", "f")).select("vec_id", "f.other_id", "f.cos", (F.col("pos") + 1).alias("rank"))
 
 

@@ -58,6 +58,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return lines.occurrences(pages, crossed)
 
 
+def p4_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """The same lines from two partitions merged one after the other, split by crawl time."""
+    pages = table(prepare(spark), d, "page_records")
+    early = F.coalesce(F.col("crawled_at") < "2025-06-01", F.lit(False))
+    state = lines.LineCounts()
+    for part in (pages.where(early), pages.where(~early)):
+        state.merge(part)
+    return lines.occurrences(pages, state.excessive())
+
+
 def p4_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return lines.without_lines(table(prepare(spark), d, "page_records"), p4_found(spark, d))
 
@@ -116,6 +126,7 @@ QUERIES = {
     "p3_pieces": p3_pieces,
     "p4_found": p4_found,
     "p4_cleaned": p4_cleaned,
+    "p4_incremental": p4_incremental,
     "p5_found": p5_found,
     "p5_real": p5_real,
     "p6_found": p6_found,
@@ -172,6 +183,7 @@ SQL = {
          WHERE c.c / (a.n + b.n - c.c) >= 0.6 - 1e-12""",
     "p3_found": "SELECT DISTINCT chunk_id FROM chunks WHERE octet_length(encode(chunk_text)) // 4 + 1 > 512",
     "p4_found": _LINES + "SELECT page_id, CAST(line_no AS INTEGER) AS line_no FROM hit",
+    "p4_incremental": _LINES + "SELECT page_id, CAST(line_no AS INTEGER) AS line_no FROM hit",
     "p4_cleaned": _LINES
     + """SELECT l.page_id, coalesce(string_agg(l.line, chr(10) ORDER BY l.line_no) FILTER (WHERE h.page_id IS NULL), '') AS content,
          CAST(count(h.page_id) AS INTEGER) AS n_removed
