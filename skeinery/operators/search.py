@@ -26,8 +26,7 @@ def bm25_scores(docs: DataFrame, query: str, content: str = "content", stemmed:
     """``docs`` with a match, plus ``score``.
 
     Lengths and frequencies are those of the whole table; the group restricts the result only. One pass
-    counts the terms of each document in place, a second adds the table's statistics as one row, so nothing is shuffled
-    but that row. A query without terms matches nothing.
+    counts the terms of each document in place to get the table's statistics (one row, read when the query is built), a second scores, so nothing is shuffled. A query without terms matches nothing.
     """
     terms = _terms(query, stemmed)
     toks = (analyze.stemmed_tokens if stemmed else analyze.tokens)(F.col(content))
@@ -39,11 +38,7 @@ def bm25_scores(docs: DataFrame, query: str, content: str = "content", stemmed:
 
     tf = [times(t) for t in terms]
     counted = counted.select(*docs.columns, F.coalesce(F.size("__toks"), F.lit(0)).alias("__dl"), *[c.alias(f"__tf{i}") for i, c in enumerate(tf)])
-    stats = counted.agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.avg("__dl").alias("__avg"),
-        *[F.count_if(F.col(f"__tf{i}") > 0).alias(f"__df{i}") for i in range(len(terms))],
-    )
+    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("__dl").alias("avg"), *[F.count_if(F.col(f"__tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
     rows = counted if group is None else counted.where(F.col("grp") == group)
     has = [F.col(f"__tf{i}") > 0 for i in range(len(terms))]
     match = has[0]
@@ -51,10 +46,10 @@ def bm25_scores(docs: DataFrame, query: str, content: str = "content", stemmed:
         match = (match & h) if operator == "and" else (match | h)
     score: Column = F.lit(0.0)
     for i in range(len(terms)):
-        f, df = F.col(f"__tf{i}"), F.col(f"__df{i}")
-        idf = F.log(1 + (F.col("__n") - df + 0.5) / (df + 0.5))
-        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("__dl") / F.col("__avg")))
-    return rows.where(match).crossJoin(F.broadcast(stats)).select(*docs.columns, score.alias("score"))
+        f, df = F.col(f"__tf{i}"), stats[f"df{i}"]
+        idf = F.log(F.lit(1 + (stats["n"] - df + 0.5) / (df + 0.5)))
+        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("__dl") / F.lit(stats["avg"] or 1.0)))
+    return rows.where(match).select(*docs.columns, score.alias("score"))
 
 
 def bm25_search(
@@ -86,9 +81,10 @@ def search_index(index: tuple[DataFrame, DataFrame, DataFrame], query: str, limi
     terms = _terms(query, stemmed)
     hit = postings.where(F.col("term").isin(terms))
     df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rows = hit.join(F.broadcast(df), "term").join(lengths, list(keys)).crossJoin(F.broadcast(stats))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    rows = hit.join(F.broadcast(df), "term").join(lengths, list(keys))
+    whole = stats.first()
+    idf = F.log(1 + (F.lit(whole["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(whole["avgdl"] or 1.0)))
     scored = rows.groupBy(*keys).agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("terms"))
     if operator == "and":
         scored = scored.where(F.col("terms") == len(terms))

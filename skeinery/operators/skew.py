@@ -27,10 +27,10 @@ def keyed_join(rows: DataFrame, keys: DataFrame, on: Sequence[str], count_col: s
     """
     on = list(on)
     keys = cut(keys)
-    total = keys.agg((F.sum(count_col) * F.lit(hot_share)).alias("__limit"))
-    marked = keys.join(F.broadcast(total), F.col(count_col) > F.col("__limit"), "left")
-    hot = marked.where(F.col("__limit").isNotNull()).drop("__limit", count_col)
-    cold = marked.where(F.col("__limit").isNull()).drop("__limit", count_col)
+    total = keys.agg(F.sum(count_col)).first()[0] or 0
+    is_hot = F.coalesce(F.col(count_col), F.lit(0)) > total * hot_share
+    hot = keys.where(is_hot).drop(count_col)
+    cold = keys.where(~is_hot).drop(count_col)
     hot_keys = F.broadcast(hot.select(*on).withColumn("__hot", F.lit(True)))
     by_broadcast = rows.join(F.broadcast(hot), on, "inner")
     by_shuffle = rows.join(hot_keys, on, "left_anti").join(cold, on, "inner")

@@ -6,11 +6,9 @@ executor is repeated by Spark without leaving half a change.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skeinery.session import cut
@@ -154,12 +152,3 @@ def group_stats(pages: DataFrame, links: DataFrame, chunks: DataFrame, group: st
     counts = [(df if group is None else df.where(F.col("grp") == group)).select(F.lit(k).alias("k")) for k, df in kinds.items()]
     rows = counts[0].unionByName(counts[1]).unionByName(counts[2])
     return rows.agg(*[F.count_if(F.col("k") == k).cast("bigint").alias(f"{k}_count") for k in kinds])
-
-
-def distinct_number(df: DataFrame, order: Sequence[str], out: str = "n") -> DataFrame:
-    """Global 1-based number in an order, for bounded outputs such as manifests."""
-    return df.withColumn(out, F.row_number().over(W.orderBy(*order)))
-
-
-def local_path(path: str) -> str:
-    return path[7:] if path.startswith("file://") else os.path.abspath(path)
