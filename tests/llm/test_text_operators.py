@@ -225,7 +225,7 @@ def encoder():
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=400))
 def test_encode_any_text(text):
-    e = test_encode_any_text.__dict__.setdefault("e", encode.ChunkEncoder())
+    e = encode.encoder(encode.TOKENIZER_DIR, encode.TOKENIZER)
     text = text.encode("utf-8", "replace").decode()
     assert e.encode(text) == e.bpe.encode_ordinary(text)
     assert "".join(e.pieces(text)) == text
@@ -283,6 +283,8 @@ def sentence_model():
     return sentences.Model(counts)
 
 
+EMPTY_MODEL = sentences.Model(np.zeros((5, sentences.CELLS), np.int64))
+
 CASES = {
     "Dr. Smith left. The machine works.": ["Dr. Smith left.", "The machine works."],
     "It costs 3.14 or so. The end.": ["It costs 3.14 or so.", "The end."],
@@ -311,7 +313,7 @@ def test_sentences(sentence_model, text):
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="aB .!?\n\"'()“”«»。「」1#-…ก ๆ", max_size=120))
 def test_sentences_cover_text(text):
-    m = test_sentences_cover_text.__dict__.setdefault("m", sentences.Model(np.zeros((5, sentences.CELLS), np.int64)))
+    m = EMPTY_MODEL
     units = m.units(text)
     assert all(a < b for a, b in units) and all(b <= c for (_, b), (c, _) in zip(units, units[1:]))
     assert "".join(text[a:b] for a, b in units).replace(" ", "").replace("\n", "") == "".join(text.split())
