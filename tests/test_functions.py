@@ -44,7 +44,7 @@ def test_sanitize(spark, s, want):
 
 
 def test_derive_group(spark):
-    assert one(spark, urls.derive_group(F.lit("https://surrealdb.example/docs"))) == "surrealdb_example"
+    assert one(spark, urls.derive_group(F.lit("https://streamdb.example/docs"))) == "streamdb_example"
     assert one(spark, urls.derive_group(F.lit("https://docs.rs/tokio/1.0"))) == "docs_rs"
     assert one(spark, urls.derive_group(F.lit("x"), F.lit("docs-v2"))) == "docs_v2"
     assert one(spark, urls.derive_group(F.lit("x"))) == "unknown"
@@ -104,7 +104,7 @@ def test_html(spark):
 
 
 def test_analyze(spark):
-    assert one(spark, analyze.tokens(F.col("s")), s="SurrealDB v2 日本語") == ["surreal", "db", "v", "2", "日本語"]
+    assert one(spark, analyze.tokens(F.col("s")), s="StreamDB v2 日本語") == ["stream", "db", "v", "2", "日本語"]
     words = {"running": "run", "flies": "fli", "consistency": "consist", "generalization": "general", "relational": "relat", "hopping": "hop", "hoped": "hope", "happily": "happili", "sky": "sky", "national": "nation", "skies": "sky", "troubled": "troubl", "succeeding": "succeed"}
     assert {w: analyze.stem(w) for w in words} == words
 

@@ -87,9 +87,9 @@ def test_chunk_pages(spark):
 
 def pages(spark):
     data = [
-        ("blog", "https://a/1", "Hello", "Hello world this is a test page about SurrealDB"),
-        ("blog", "https://a/2", "Two", "SurrealDB again and SurrealDB once more"),
-        ("docs", "https://b/1", "Docs", "Documentation of SurrealDB pages"),
+        ("blog", "https://a/1", "Hello", "Hello world this is a test page about StreamDB"),
+        ("blog", "https://a/2", "Two", "StreamDB again and StreamDB once more"),
+        ("docs", "https://b/1", "Docs", "Documentation of StreamDB pages"),
         ("docs", "https://b/2", None, "hello nobody"),
     ]
     return spark.createDataFrame(data, "grp string, url string, title string, content string")
@@ -98,13 +98,13 @@ def pages(spark):
 def test_bm25(spark):
     p = pages(spark)
     assert [r.url for r in search.bm25_search(p, "hello", group="blog").collect()] == ["https://a/1"]
-    assert len(search.bm25_search(p, "SurrealDB", group="blog").collect()) == 2
-    assert len(search.bm25_search(p, "surreal page").collect()) == 2  # stems
-    assert len(search.bm25_search(p, "hello surreal", operator="or", stemmed=False).collect()) == 3
+    assert len(search.bm25_search(p, "StreamDB", group="blog").collect()) == 2
+    assert len(search.bm25_search(p, "stream page").collect()) == 2  # stems
+    assert len(search.bm25_search(p, "hello stream", operator="or", stemmed=False).collect()) == 3
     assert search.bm25_search(p, "?!").count() == 0
     assert search.bm25_search(p.limit(0), "hello").count() == 0
-    direct = {r.url: r.score for r in search.bm25_scores(p, "surreal db", stemmed=False).collect()}
-    index = search.search_index(search.build_index(p, stemmed=False), "surreal db", stemmed=False)
+    direct = {r.url: r.score for r in search.bm25_scores(p, "stream db", stemmed=False).collect()}
+    index = search.search_index(search.build_index(p, stemmed=False), "stream db", stemmed=False)
     assert {r.url: pytest.approx(r.score) for r in index.collect()} == direct
 
 
