@@ -5,6 +5,9 @@ Close vectors fall into the same or adjoining intervals, so a query visits its o
 bucket and those reached by the perturbations most likely to succeed, judged by its
 distance to the interval borders. Candidates of all tables are thinned by a bit
 sketch, then ranked by their exact cosine.
+
+That search needs a least cosine. ``nearest`` has none: it compares every vector with
+all others of its model, block by block, and so is exact.
 """
 
 from __future__ import annotations
@@ -119,14 +122,14 @@ def usable(vectors: DataFrame) -> DataFrame:
     )
 
 
-def _unit(pdf: pd.DataFrame) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+def _unit(pdf: pd.DataFrame, kind: type = np.float32) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     """Per model and length in a batch: ids and unit vectors."""
     size = pdf["embedding"].map(len)
     for (model, _), part in pdf.groupby([pdf["model"], size], sort=False):
         x = np.stack(part["embedding"].to_numpy()).astype(np.float64)
         x /= np.abs(x).max(1, keepdims=True)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        yield model, part["vec_id"].to_numpy(np.int64), x.astype(np.float32)
+        yield model, part["vec_id"].to_numpy(np.int64), x.astype(kind)
 
 
 def _hashers(index: Index):
@@ -225,10 +228,7 @@ def neighbor_pairs(vectors: DataFrame, min_cos: float = 0.8, k: int = 5, index:
     the k first members only, so that copies cost no pairs. An empty table gives an empty result.
     """
     index = index or Index()
-    good = usable(vectors).withColumn("cls", F.concat_ws("-", F.xxhash64("model", F.size("embedding"), "embedding"), F.xxhash64(F.lit("second"), "embedding", "model")))
-    members = cut(good)
-    by_class = W.partitionBy("cls")
-    reps = cut(members.groupBy("cls").agg(F.min("vec_id").alias("vec_id"), F.min_by(F.struct("model", "embedding"), "vec_id").alias("r"), F.count(F.lit(1)).alias("n")).select("cls", "vec_id", "r.model", "r.embedding", "n"))
+    members, reps = _classes(vectors)
     rows = entries(reps, index).repartition("key", "cell").sortWithinPartitions("key", "cell", "probe")
     pairs = rows.mapInPandas(lambda it: _meet(it, index.max_differ), "a bigint, b bigint").distinct()
     vec = reps.select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
@@ -241,7 +241,70 @@ def neighbor_pairs(vectors: DataFrame, min_cos: float = 0.8, k: int = 5, index:
     )
     both = scored.select(F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("b").alias("other"), "cos"), F.struct(F.col("b").alias("rep"), F.col("a").alias("other"), "cos"))).alias("p")).select("p.*")
     best = W.partitionBy("rep").orderBy(F.desc("cos"), "other")
-    top = both.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+    return _expanded(members, reps, both.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r"), k)
+
+
+def _scan(batches: Iterable[pd.DataFrame], k: int, most: int = 1 << 22) -> Iterator[pd.DataFrame]:
+    """The k most similar stored rows of each visiting row of a cell, with equals by id; rows come sorted."""
+    last, ids, parts = None, [], []
+    x = own = None
+    for pdf in batches:
+        for (cell, probe), rows in pdf.groupby(["cell", "probe"], sort=False):
+            if cell != last:
+                last, ids, parts, x = cell, [], [], None
+            ((_, some, y),) = _unit(rows, np.float64)
+            if probe == 0:
+                ids.append(some)
+                parts.append(y)
+                continue
+            if x is None and not parts:  # an empty block
+                continue
+            if x is None:
+                x, own = np.concatenate(parts), np.concatenate(ids)
+                ids, parts = [], []
+            for at in range(0, len(y), step := max(1, most // len(x))):
+                cos = y[at : at + step] @ x.T
+                me = some[at : at + step]
+                cos[me[:, None] == own] = -2
+                n = min(k, len(own))
+                least = np.partition(cos, len(own) - n, 1)[:, len(own) - n]
+                i, j = np.nonzero((cos >= least[:, None] - 1e-11) & (cos > -2))
+                found = pd.DataFrame({"rep": me[i], "other": own[j], "cos": cos[i, j]})
+                found["near"] = -found["cos"].round(12)
+                yield found.sort_values(["rep", "near", "other"]).groupby("rep").head(k)[["rep", "other", "cos"]]
+
+
+def nearest(vectors: DataFrame, k: int = 5, block: int = 8192) -> DataFrame:
+    """Directed neighbours: vec_id, other_id, cos, rank (1..k), exact and however far, for every usable vector.
+
+    ``other_id`` is among the k most similar vectors of the same model and length; equals (to 12
+    digits) are ranked by id. A vector has fewer than k only if there are no more. The rows of a model are
+    dealt into blocks of about ``block``, and every two blocks meet in a cell of their own, so the time grows with the
+    square of the rows and the shuffle with the square over ``block``; no task holds more than one block.
+    """
+    members, reps = _classes(vectors)
+    rows = reps.select("model", F.size("embedding").alias("dim"), "vec_id", "embedding")
+    sizes = rows.groupBy("model", "dim").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"))
+    dealt = rows.join(F.broadcast(sizes), ["model", "dim"]).withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("n")))
+    each = dealt.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    side = lambda probe, visiting, stored: each.select(F.concat_ws("-", visiting, stored, "dim", "model").alias("cell"), F.lit(probe).alias("probe"), "vec_id", "model", "embedding")
+    cells = side(0, "met", "own").unionByName(side(1, "own", "met")).repartition("cell").sortWithinPartitions("cell", "probe")
+    found = cells.mapInPandas(lambda it: _scan(it, k), "rep bigint, other bigint, cos double")
+    best = W.partitionBy("rep").orderBy(F.desc(F.round("cos", 12)), "other")
+    return _expanded(members, reps, found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r"), k)
+
+
+def _classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The usable vectors with their class of equal vectors, and the first of every class with the class's size n."""
+    good = usable(vectors).withColumn("cls", F.concat_ws("-", F.xxhash64("model", F.size("embedding"), "embedding"), F.xxhash64(F.lit("second"), "embedding", "model")))
+    members = cut(good)
+    reps = cut(members.groupBy("cls").agg(F.min("vec_id").alias("vec_id"), F.min_by(F.struct("model", "embedding"), "vec_id").alias("r"), F.count(F.lit(1)).alias("n")).select("cls", "vec_id", "r.model", "r.embedding", "n"))
+    return members, reps
+
+
+def _expanded(members: DataFrame, reps: DataFrame, top: DataFrame, k: int) -> DataFrame:
+    """Neighbours of all members from the k nearest classes of every class (rep, other, cos)."""
+    by_class = W.partitionBy("cls")
     # the first members of a class stand for all of them as neighbours; one more, as none is its own
     first = (
         members.withColumn("r", F.row_number().over(by_class.orderBy("vec_id"))).where(F.col("r") <= k + 1)
@@ -249,7 +312,7 @@ def neighbor_pairs(vectors: DataFrame, min_cos: float = 0.8, k: int = 5, index:
     )
     near = top.join(first.select(F.col("rep").alias("other"), "ids"), "other").select("rep", F.explode("ids").alias("other_id"), "cos")
     own = first.where(F.size("ids") > 1).select("rep", F.explode("ids").alias("other_id"), F.lit(1.0).alias("cos"))
-    lists = near.unionByName(own).withColumn("r", F.row_number().over(W.partitionBy("rep").orderBy(F.desc("cos"), "other_id"))).where(F.col("r") <= k + 1)
+    lists = near.unionByName(own).withColumn("r", F.row_number().over(W.partitionBy("rep").orderBy(F.desc(F.round("cos", 12)), "other_id"))).where(F.col("r") <= k + 1)
     listed = lists.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("r", "other_id", "cos"))).alias("found"))
     of_class = reps.select("cls", F.col("vec_id").alias("rep"), "n").join(listed, "rep")
     out = keyed_join(members.select("vec_id", "cls"), of_class, ["cls"], "n").select("vec_id", F.slice(F.filter("found", lambda s: s["other_id"] != F.col("vec_id")), 1, k).alias("found"))

@@ -39,7 +39,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_neighbors(spark: SparkSession, d: str) -> DataFrame:
-    near = neighbors.neighbor_pairs(table(prepare(spark), d, "embedding_data"))
+    near = neighbors.nearest(table(prepare(spark), d, "embedding_data"))
     return near.select("vec_id", "other_id", F.round("cos", 6).alias("cos"), "rank")
 
 

@@ -50,6 +50,36 @@ def test_neighbor_recall(spark):
     assert got[1003] == want[1003] and got[0] == want[0]  # copies are ranked by id
 
 
+@pytest.mark.parametrize("block", [8192, 70])
+def test_nearest_have_no_floor(spark, block):
+    rng = np.random.default_rng(3)
+    far = [(i, "m", np.float32(x).astype(float)) for i, x in enumerate(rng.standard_normal((300, 64)))]
+    rows = far + [(1000 + i, "m", far[0][2]) for i in range(9)] + [(1100 + i, "m", far[1][2] * 2) for i in range(3)]
+    rows += [(2000 + i, "s", np.float32(x).astype(float)) for i, x in enumerate(rng.standard_normal((4, 48)))] + [(3000, "alone", far[0][2])]
+    df = spark.createDataFrame([(i, m, len(x), x.tolist()) for i, m, x in rows], "vec_id long, model string, dimensions int, embedding array<float>")
+    got: dict = {}
+    for r in neighbors.nearest(df, block=block).orderBy("vec_id", "rank").collect():
+        got.setdefault(r.vec_id, []).append(r.other_id)
+    want = brute_neighbors(rows, 5, -1)
+    assert want.pop(3000) == [] and got == want
+    assert {len(got[i]) for i, m, _ in rows if m == "m"} == {5} and {len(got[2000 + i]) for i in range(4)} == {3}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_neighbors_query_is_whole(spark):
+    """All k of every usable vector; those of at least 0.80 are the rows of the registered SQL, which has that floor."""
+    import duckdb
+
+    got = queries.QUERIES["p2_neighbors"](spark, DATA).collect()
+    good = {r.vec_id: r.model for r in neighbors.usable(spark.read.parquet(f"{DATA}/embedding_data.parquet")).collect()}
+    same = {m: list(good.values()).count(m) for m in good.values()}
+    assert len(got) == sum(min(5, same[m] - 1) for m in good.values())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embedding_data AS SELECT * FROM read_parquet('{DATA}/embedding_data.parquet')")
+    want = con.execute(queries.SQL["p2_neighbors"]).fetchall()
+    assert {(r.vec_id, r.other_id, r.rank) for r in got if r.cos >= 0.8} == {(a, b, n) for a, b, _, n in want}
+
+
 def test_full_buckets_are_split(spark):
     base = np.random.default_rng(5).standard_normal(64)
     near = np.random.default_rng(6).standard_normal((300, 64)) * 1e-3
