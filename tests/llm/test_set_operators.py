@@ -50,6 +50,26 @@ def test_neighbor_recall(spark):
     assert got[1003] == want[1003] and got[0] == want[0]  # copies are ranked by id
 
 
+def test_recall_per_band(spark):
+    """Planted pairs in each band, from the floor itself on; one seed of pairs, all among vectors far from each other."""
+    rng = np.random.default_rng(11)
+    bands = [(0.8, 0.8001), (0.8, 0.82), (0.82, 0.85), (0.85, 0.88), (0.88, 0.92)]
+    rows, band = [], {}
+    for n, (low, high) in enumerate(bands):
+        for i in range(400):
+            a, b = rng.standard_normal((2, 64))
+            a /= np.linalg.norm(a)
+            b -= (a @ b) * a
+            c = rng.uniform(low + 1e-5, high)
+            at = 2 * (n * 400 + i)
+            rows += [(at, "m", 64, a.tolist()), (at + 1, "m", 64, (c * a + np.sqrt(1 - c * c) * b / np.linalg.norm(b)).tolist())]
+            band[at, at + 1] = n
+    df = spark.createDataFrame(rows, "vec_id long, model string, dimensions int, embedding array<float>")
+    found = {tuple(r) for r in neighbors.undirected(neighbors.neighbor_pairs(df)).collect()}
+    recall = [sum(n == m and p in found for p, m in band.items()) / 400 for n in range(len(bands))]
+    assert min(recall) >= 0.9, recall
+
+
 @pytest.mark.parametrize("block", [8192, 70])
 def test_nearest_have_no_floor(spark, block):
     rng = np.random.default_rng(3)
