@@ -88,6 +88,20 @@ def first_load(pages: DataFrame, min_pages: int = MIN_PAGES) -> tuple[LineCounts
     return state, state.merge(pages)
 
 
+def update(state: LineCounts, earlier: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Merge the partition ``new`` into the counts of ``earlier``; return what has to be done again.
+
+    The first result has the page_id of the affected pages: all of the partition and the earlier ones that hold a newly
+    crossed line. The second has page_id, line_no of all excessive lines on them, those crossed before too, as
+    ``without_lines`` rebuilds them. All other pages stay as they are.
+    """
+    crossed = state.merge(new)
+    both = earlier.select("grp", "page_id", "content").unionByName(new.select("grp", "page_id", "content"))
+    affected = cut(occurrences(earlier, crossed).select("page_id").unionByName(new.select("page_id")).distinct())
+    again = both.join(affected.select(F.col("page_id").alias("done")), F.col("page_id").eqNullSafe(F.col("done")), "left_semi")
+    return affected, occurrences(again, state.excessive())
+
+
 def without_lines(pages: DataFrame, hits: DataFrame) -> DataFrame:
     """page_id, content without the given lines, of the pages that contain any.
 

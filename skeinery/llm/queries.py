@@ -59,13 +59,15 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_incremental(spark: SparkSession, d: str) -> DataFrame:
-    """The same lines from two partitions merged one after the other, split by crawl time."""
+    """The same lines from two partitions taken in one after the other, split by crawl time; only affected pages are done again."""
     pages = table(prepare(spark), d, "page_records")
     early = F.coalesce(F.col("crawled_at") < "2025-06-01", F.lit(False))
     state = lines.LineCounts()
-    for part in (pages.where(early), pages.where(~early)):
-        state.merge(part)
-    return lines.occurrences(pages, state.excessive())
+    first, second = pages.where(early), pages.where(~early)
+    before = lines.update(state, first.limit(0), first)[1]
+    affected, again = lines.update(state, first, second)
+    kept = before.join(affected.select(F.col("page_id").alias("done")), F.col("page_id").eqNullSafe(F.col("done")), "left_anti")
+    return kept.unionByName(again)
 
 
 def p4_cleaned(spark: SparkSession, d: str) -> DataFrame:

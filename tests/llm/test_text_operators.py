@@ -175,6 +175,26 @@ def test_lines_incremental_equals_whole(spark):
     assert kept[3] == ("Unique words d\n\n***", 2) and 20 not in kept and 9 not in kept
 
 
+def test_update_rebuilds_affected_pages_only(spark):
+    at = lambda i, *more: "\n".join([f"Words of page {'abcdefghijklmnop'[i]} alone", *more])
+    parts = [
+        [("g", i, at(i, "early line", "late line")) for i in range(3)] + [("g", 3, at(3, "early line")), ("g", 4, at(4, "early line")), ("g", 5, at(5)), ("h", 6, at(6, "late line"))],
+        [("g", 7, at(7, "late line")), ("g", 8, at(8, "late line")), ("g", 9, at(9, "early line")), ("g", 0, at(0, "early line", "late line")), ("g", 10, at(10)), (None, 11, None)],
+        [("g", 12, at(12, "early line", "late line", "new"))],
+    ]
+    state, rebuilt, earlier, seen = lines.LineCounts(min_pages=5), {}, [], []
+    for part in parts:
+        frame = lambda rows: spark.createDataFrame(rows, "grp string, page_id long, content string")
+        affected, hits = lines.update(state, frame(earlier), frame(part))
+        earlier = earlier + part
+        seen.append({r.page_id for r in affected.collect()})
+        rebuilt |= {r.page_id: (r.content, r.n_removed) for r in lines.without_lines(frame(earlier), hits).collect()}
+    whole = lines.without_lines(frame(earlier), lines.occurrences(frame(earlier), lines.first_load(frame(earlier), 5)[1]))
+    assert rebuilt == {r.page_id: (r.content, r.n_removed) for r in whole.collect()}
+    assert rebuilt[0] == (at(0), 2) and rebuilt[9] == (at(9), 1)
+    assert seen == [set(range(7)), {0, 1, 2, 7, 8, 9, 10, 11}, {12}]
+
+
 # --- residue ------------------------------------------------------------------------------------------------------
 
 
