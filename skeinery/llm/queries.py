@@ -86,7 +86,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_real(spark: SparkSession, d: str) -> DataFrame:
     results, judged = _judged(spark, d)
-    return residue.without_residue(results.select("result_id", "url", "title", "content", "http_status", "error"), judged)
+    return residue.without_residue(results.select("result_id", "url", "title", "content", "http_status", "error"), judged, keep_errors=True)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -165,8 +165,8 @@ def sample(records: DataFrame, most: int = TRAIN_RECORDS) -> list[tuple]:
 def judge(records: DataFrame, model: Model) -> DataFrame:
     """result_id, residue (boolean), score of every record, one row per result_id.
 
-    Failed fetches and blank or null contents are no residue; a null status, title or url is no evidence; redelivered rows count
-    once; further columns are ignored.
+    Blank or null contents (failed fetches) are no residue; content is judged whatever ``error`` says; a null status, title or
+    url is no evidence; redelivered rows count once; further columns are ignored.
     """
     shared = records.sparkSession.sparkContext.broadcast(model)
 
@@ -174,20 +174,23 @@ def judge(records: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         for pdf in batches:
             scores = []
-            for content, title, url, status, error in zip(pdf["content"], pdf["title"], pdf["url"], pdf["http_status"], pdf["error"]):
-                if error is not None and error == error or not content or not content.strip():
+            for content, title, url, status in zip(pdf["content"], pdf["title"], pdf["url"], pdf["http_status"]):
+                if not content or not content.strip():
                     scores.append(-99.0)
                 else:
                     scores.append(m.score(examine(content, title, url, None if status != status or status is None else int(status), m.lines)))
             yield pd.DataFrame({"result_id": pdf["result_id"], "score": scores})
 
-    rows = records.where(F.col("result_id").isNotNull()).select("result_id", "content", "title", "url", "http_status", "error")
+    rows = records.where(F.col("result_id").isNotNull()).select("result_id", "content", "title", "url", "http_status")
     judged = rows.mapInPandas(run, "result_id bigint, score double")
     return judged.groupBy("result_id").agg(F.max("score").alias("score")).select("result_id", (F.col("score") > 0).alias("residue"), "score")
 
 
-def without_residue(records: DataFrame, judged: DataFrame) -> DataFrame:
-    """The real records, one row per result_id, with all their columns."""
+def without_residue(records: DataFrame, judged: DataFrame, keep_errors: bool = False) -> DataFrame:
+    """The real records, one row per result_id, with all their columns; blank contents are none.
+
+    Records with ``error`` set are left out unless ``keep_errors``, which goes by their content alone.
+    """
     bad = judged.where("residue").select("result_id")
-    good = records.where(F.col("error").isNull() & (F.length(F.trim(F.coalesce("content", F.lit("")))) > 0))
+    good = records.where((F.lit(keep_errors) | F.col("error").isNull()) & (F.length(F.trim(F.coalesce("content", F.lit("")))) > 0))
     return good.join(bad, "result_id", "left_anti").dropDuplicates(["result_id"])

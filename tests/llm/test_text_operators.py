@@ -222,6 +222,18 @@ def test_residue_on_unseen_hosts(spark):
     assert right / len(test) > 0.9
 
 
+def test_content_is_judged_under_an_error(spark):
+    made = made_results(100)
+    model, _ = residue.train([r[:4] for r in made])
+    c, t, u, _, _ = made[1]
+    bad = "Lorem ipsum dolor amet quis nunc velit. " * 20
+    rows = [(1, c, t, u, 200, "timeout"), (2, bad, None, u, 200, "timeout"), (3, bad, None, u, 200, None), (4, " ", t, u, None, "timeout"), (5, None, None, u, None, "timeout")]
+    df = spark.createDataFrame(rows, "result_id long, content string, title string, url string, http_status int, error string")
+    judged = residue.judge(df, model)
+    assert {r.result_id: r.residue for r in judged.collect()} == {1: False, 2: True, 3: True, 4: False, 5: False}
+    assert {r.result_id for r in residue.without_residue(df, judged, keep_errors=True).collect()} == {1}
+
+
 def test_residue_edge_cases(spark):
     made = made_results(100)
     model, _ = residue.train([r[:4] for r in made])
