@@ -95,10 +95,10 @@ class Chunker:
         return [(i, piece, path) for i, (piece, path) in enumerate(flat)]
 
 
-def chunk_pages(pages: DataFrame, keys: tuple[str, ...] = ("grp", "url"), budget: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS, max_chunks: int = MAX_CHUNKS, compat: bool = False) -> DataFrame:
+def chunk_pages(pages: DataFrame, keys: tuple[str, ...] = ("grp", "url"), budget: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS, max_chunks: int | None = None, compat: bool = False) -> DataFrame:
     """keys, chunk_index, chunk_text, heading_path, n_tokens of every page without an error and with content.
 
-    A page gives at most ``max_chunks`` chunks; null and blank contents give none; repeated rows are chunked
+    A page gives all its chunks, or the first ``max_chunks`` (``MAX_CHUNKS`` in the original pipeline); null and blank contents give none; repeated rows are chunked
     each. One narrow pass, no shuffle.
     """
     good = pages.where(F.col("content").isNotNull() & (F.trim("content") != ""))

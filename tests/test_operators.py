@@ -80,6 +80,14 @@ def test_chunker():
         assert all(len(t) <= 40 for t in got) and len(got[0]) == 40 and sum(map(len, got)) - 4 * overlap * (len(got) - 1) == 100
 
 
+def test_long_pages_keep_all_chunks(spark):
+    text = "\n\n".join(f"paragraph {i} of the page" for i in range(1500))
+    df = spark.createDataFrame([("u", text)], "url string, content string")
+    got = [r.chunk_text for r in chunker.chunk_pages(df, ("url",), 8, 0).orderBy("chunk_index").collect()]
+    assert len(got) > 1000 and got[-1] == "paragraph 1499 of the page"
+    assert chunker.chunk_pages(df, ("url",), 8, 0, chunker.MAX_CHUNKS).count() == 1000
+
+
 def test_chunk_pages(spark):
     df = spark.createDataFrame([("g", "u", "# A\nbody", None), ("g", "v", None, None), ("g", "w", "  ", None), ("g", "e", "x", "HTTP 404")], "grp string, url string, content string, error string")
     assert rows(chunker.chunk_pages(df), "url", "chunk_index", "chunk_text") == [("u", 0, "body")]
