@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,18 +34,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, named by ``spark.checkpoint.dir``.
+    """This application's own folder below the one all executors share, named by ``spark.checkpoint.dir``.
 
-    Only where the setting is missing (single-machine tests) a local folder takes its place.
+    It is deleted when the application ends. Only on a single machine may the setting be missing; then a local folder takes its place.
     """
     sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(configured)
-        return configured
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="skeinery-checkpoint-"))
+        configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            if not re.match(r"local(\[|$)", sc.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            configured = "file://" + tempfile.mkdtemp(prefix="skeinery-checkpoint-")
+        sc.setCheckpointDir(configured)
+        path = sc._jvm.org.apache.hadoop.fs.Path(sc.getCheckpointDir())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
     return sc.getCheckpointDir()
 
 
@@ -51,3 +55,11 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Materialize ``df`` in the shared folder and drop its lineage; survives lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Like ``cut``, but as a compressed table with columns that can be read alone: smaller where rows are wide or read in part."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
