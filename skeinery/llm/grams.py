@@ -3,7 +3,7 @@
 A block packs a bounded number of texts, compressed, into one row. Frequencies are
 counted by range of hash: each block sends its distinct n-grams with local counts to the range's task
 and gets the totals back in the same order, so neither the driver nor any one task sees all
-n-grams, and nothing wider than six bytes an n-gram is moved.
+n-grams. Sorted hashes are compressed to about four bytes.
 """
 
 from __future__ import annotations
@@ -65,6 +65,16 @@ def unpack(block: bytes) -> list[str]:
     return zstandard.decompress(block).decode("utf-8", "surrogatepass").split("\n")
 
 
+def squeeze(a: np.ndarray) -> bytes:
+    """Compressed numbers, byte by byte: sorted and small ones shrink to little more than what differs."""
+    return zstandard.compress(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T).tobytes(), 1)
+
+
+def stretch(b: bytes, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(size, -1).T).view(dtype).reshape(-1)
+
+
 def pieces(pdf: pd.DataFrame, text: str) -> Iterator[pd.DataFrame]:
     """Consecutive rows of at most BLOCK_TEXTS texts and about BLOCK_CHARS characters."""
     long = pdf[text].str.len().cumsum().to_numpy()
@@ -94,16 +104,6 @@ def borders(u: np.ndarray, ranges: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(u, edges), [len(u)]]).astype(np.int64)
 
 
-def _six(u: np.ndarray) -> bytes:
-    return np.ascontiguousarray((u >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def _from_six(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).reshape(-1)
-
-
 def frequencies(blocks: DataFrame, words: int, ranges: int) -> DataFrame:
     """block, steps: for the sorted distinct n-grams of every block the step of their number of texts in all blocks.
 
@@ -118,16 +118,16 @@ def frequencies(blocks: DataFrame, words: int, ranges: int) -> DataFrame:
                 at = borders(u, ranges)
                 full = np.flatnonzero(at[1:] > at[:-1])
                 yield pd.DataFrame(
-                    {"rng": full, "block": block, "keys": [_six(u[at[r] : at[r + 1]]) for r in full], "n": [n[at[r] : at[r + 1]].astype(np.uint16).tobytes() for r in full]}
+                    {"rng": full, "block": block, "keys": [squeeze(u[at[r] : at[r + 1]] >> np.uint64(16)) for r in full], "n": [squeeze(n[at[r] : at[r + 1]].astype(np.uint16)) for r in full]}
                 )
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = [_from_six(k) for k in pdf["keys"]]
+        keys = [stretch(k, np.uint64) for k in pdf["keys"]]
         _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        n = np.concatenate([np.frombuffer(x, np.uint16) for x in pdf["n"]])
+        n = np.concatenate([stretch(x, np.uint16) for x in pdf["n"]])
         steps = step_of(np.bincount(inverse, n))[inverse]
         ends = np.cumsum([len(k) for k in keys])
-        return pd.DataFrame({"block": pdf["block"], "rng": pdf["rng"], "steps": [steps[e - len(k) : e].tobytes() for e, k in zip(ends, keys)]})
+        return pd.DataFrame({"block": pdf["block"], "rng": pdf["rng"], "steps": [squeeze(steps[e - len(k) : e]) for e, k in zip(ends, keys)]})
 
     sent = blocks.select("block", "texts").mapInPandas(send, "rng bigint, block bigint, keys binary, n binary")
     back = sent.groupBy("rng").applyInPandas(total, "block bigint, rng bigint, steps binary")

@@ -121,8 +121,11 @@ class Corpus:
 
 #: A posting: the group's key, record, size, place of the shared element, the record's side of a pair of blocks (0 if one
 #: block meets itself) and the elements that follow.
-POSTING = np.dtype([("key", "u8"), ("rep", "i8"), ("n", "i4"), ("pos", "i4"), ("side", "u1"), ("path", "u4", (DEPTH,))])
-_FIELDS = ("key", "rep", "n", "pos", "side", "path")
+POSTING = np.dtype([("key", "u8"), ("rep", "i8"), ("n", "i4"), ("pos", "i4"), ("side", "u1"), ("path", "u2", (DEPTH,))])
+
+
+#: The columns in which the postings of a block go to a part; ``who`` numbers the records in ``reps`` (a block has fewer than 2^16).
+_PACKED = (("key", "u8"), ("who", "u2"), ("pos", "i4"), ("side", "u1"), ("path", "u2"), ("reps", "i8"), ("n", "i4"))
 
 
 def _mixed(g: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -146,7 +149,8 @@ def block_postings(reps: np.ndarray, who: np.ndarray, g: np.ndarray, steps: np.n
     n = np.bincount(who, minlength=len(reps))
     first = np.cumsum(n) - n
     pos = np.arange(len(g)) - first[who]
-    value = (step.astype(np.uint32) << np.uint32(24)) | (g >> np.uint64(40)).astype(np.uint32)
+    # in the order of the elements; those that share a value count as met, so that no overlap is underestimated
+    value = (step.astype(np.uint16) << np.uint16(8)) | (g >> np.uint64(56)).astype(np.uint16)
     chosen = np.flatnonzero((pos < prefix_length(n, t)[who]) & (step > 1))
     n_blocks = -(-grams.most_of(step[chosen]) // block)
     copies = np.repeat(np.arange(len(chosen)), n_blocks)
@@ -158,14 +162,14 @@ def block_postings(reps: np.ndarray, who: np.ndarray, g: np.ndarray, steps: np.n
     out["rep"], out["n"], out["pos"] = reps[who[row]], n[who[row]], pos[row]
     out["side"] = np.sign(own - other) % 3
     ends = (first + n)[who[row]]
-    padded = np.append(value, np.uint32(0xFFFFFFFF))
+    padded = np.append(value, np.uint16(0xFFFF))
     for i in range(DEPTH):
         out["path"][:, i] = padded[np.where(row + 1 + i < ends, row + 1 + i, len(value))]
     return out
 
 
 def postings(corpus: Corpus, t: float, block: int = BLOCK) -> tuple[DataFrame, int]:
-    """part, and the columns of the postings of one block for this part packed into bytes, sorted by key."""
+    """part, and the columns of one block's postings for this part, compressed: key (sorted), who (numbers in reps), pos, side, path; reps and n."""
     words = corpus.words
     frequent = grams.frequencies(corpus.blocks, words, max(1, -(-corpus.n_grams // grams.RANGE)))
     parts = max(1, -(-corpus.n_grams // PART))
@@ -174,13 +178,19 @@ def postings(corpus: Corpus, t: float, block: int = BLOCK) -> tuple[DataFrame, i
         for pdf in batches:
             for reps, texts, steps in zip(pdf["reps"], pdf["texts"], pdf["steps"]):
                 who, g = grams.gram_sets(grams.unpack(texts), words)
-                rows = block_postings(np.frombuffer(reps, np.int64), who, g, np.frombuffer(b"".join(steps), np.uint8), t, block)
+                rows = block_postings(np.frombuffer(reps, np.int64), who, g, np.concatenate([grams.stretch(x, np.uint8) for x in steps]), t, block)
                 rows = rows[np.argsort(rows["key"])]
                 at = grams.borders(rows["key"], parts)
                 full = np.flatnonzero(at[1:] > at[:-1])
-                yield pd.DataFrame({"part": full} | {f: [np.ascontiguousarray(rows[f][at[p] : at[p + 1]]).tobytes() for p in full] for f in _FIELDS})
-
-    schema = "part bigint, " + ", ".join(f"{f} binary" for f in _FIELDS)
+                packed = []
+                for p in full:
+                    x = rows[at[p] : at[p + 1]]
+                    own, first, number = np.unique(x["rep"], return_index=True, return_inverse=True)
+                    path = np.ascontiguousarray(x["path"]).reshape(-1)
+                    packed.append([grams.squeeze(c) for c in (x["key"], number.astype(np.uint16), x["pos"], x["side"], path, own, x["n"][first])])
+                yield pd.DataFrame({"part": full} | {f: [row[i] for row in packed] for i, (f, _) in enumerate(_PACKED)})
+
+    schema = "part bigint, " + ", ".join(f"{f} binary" for f, _ in _PACKED)
     return corpus.blocks.select("block", "reps", "texts").join(frequent, "block").mapInPandas(run, schema), parts
 
 
@@ -193,9 +203,9 @@ class Trie:
 
     def __init__(self, rows: np.ndarray, share: float):
         path = rows["path"].astype(np.uint64)
-        pairs = [(path[:, i] << np.uint64(32)) | (path[:, i + 1] if i + 1 < DEPTH else 0) for i in range(0, DEPTH, 2)]
-        band = np.log2(rows["n"].astype(np.float64)) * 8 // 1
-        order = np.lexsort((*pairs[::-1], band, rows["key"]))
+        words = [sum(path[:, j] << np.uint64(16 * (3 - j % 4)) for j in range(i, min(i + 4, DEPTH))) for i in range(0, DEPTH, 4)]
+        band = (np.log2(rows["n"].astype(np.float64)) * 8).astype(np.int16)
+        order = np.lexsort((*words[::-1], band, rows["key"]))
         self.rows = rows = rows[order]
         band = band[order]
         slack = rows["n"] - rows["pos"] - share * rows["n"]
@@ -285,14 +295,15 @@ def _similar(batches: Iterable[pd.DataFrame], t: float) -> Iterator[pd.DataFrame
 
     part, parts = None, []
     for pdf in batches:
-        for p, *columns in zip(pdf["part"], *(pdf[f] for f in _FIELDS)):
+        for p, *columns in zip(pdf["part"], *(pdf[f] for f, _ in _PACKED)):
             if p != part:
                 if parts:
                     yield from pairs(np.concatenate(parts))
                 part, parts = p, []
-            rows = np.empty(len(columns[0]) // 8, POSTING)
-            for f, c in zip(_FIELDS, columns):
-                rows[f] = np.frombuffer(c, POSTING[f].base).reshape(rows[f].shape)
+            key, who, pos, side, path, reps, n = (grams.stretch(c, kind) for c, (_, kind) in zip(columns, _PACKED))
+            rows = np.empty(len(key), POSTING)
+            rows["key"], rows["rep"], rows["n"], rows["pos"], rows["side"] = key, reps[who], n[who], pos, side
+            rows["path"] = path.reshape(-1, DEPTH)
             parts.append(rows)
     if parts:
         yield from pairs(np.concatenate(parts))
