@@ -39,7 +39,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_neighbors(spark: SparkSession, d: str) -> DataFrame:
-    near = neighbors.nearest(table(prepare(spark), d, "embedding_data"))
+    """Exact neighbours, however far, of the query set vec_id % 50 = 0 among all rows."""
+    near = neighbors.nearest(table(prepare(spark), d, "embedding_data"), asked=F.col("vec_id") % 50 == 0)
     return near.select("vec_id", "other_id", F.round("cos", 6).alias("cos"), "rank")
 
 
@@ -159,7 +160,7 @@ WITH v AS (
 ), p AS (
   SELECT a.vec_id AS vec_id, b.vec_id AS other_id, list_cosine_similarity(a.e, b.e) AS cos FROM v a JOIN v b ON a.model = b.model AND a.vec_id <> b.vec_id
 ), r AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY round(cos, 12) DESC, other_id) AS INTEGER) AS rank FROM p WHERE cos >= 0.8
+  SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY round(cos, 12) DESC, other_id) AS INTEGER) AS rank FROM p WHERE cos >= {least}
 )
 """
 
@@ -178,8 +179,8 @@ WITH w AS (
 """
 
 SQL = {
-    "p2_found": _NEIGHBORS + "SELECT DISTINCT least(vec_id, other_id) AS vec_id_a, greatest(vec_id, other_id) AS vec_id_b FROM r WHERE rank <= 5",
-    "p2_neighbors": _NEIGHBORS + "SELECT vec_id, other_id, round(cos, 6) AS cos, rank FROM r WHERE rank <= 5",
+    "p2_found": _NEIGHBORS.format(least=0.8) + "SELECT DISTINCT least(vec_id, other_id) AS vec_id_a, greatest(vec_id, other_id) AS vec_id_b FROM r WHERE rank <= 5",
+    "p2_neighbors": _NEIGHBORS.format(least=-1) + "SELECT vec_id, other_id, round(cos, 6) AS cos, rank FROM r WHERE rank <= 5 AND vec_id % 50 = 0",
     "p6_found": _GRAMS
     + """SELECT x AS page_id_a, y AS page_id_b FROM c JOIN n a ON a.page_id = c.x JOIN n b ON b.page_id = c.y
          WHERE c.c / (a.n + b.n - c.c) >= 0.6 - 1e-12""",

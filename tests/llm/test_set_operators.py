@@ -85,19 +85,44 @@ def test_nearest_have_no_floor(spark, block):
     assert {len(got[i]) for i, m, _ in rows if m == "m"} == {5} and {len(got[2000 + i]) for i in range(4)} == {3}
 
 
-@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-def test_neighbors_query_is_whole(spark):
-    """All k of every usable vector; those of at least 0.80 are the rows of the registered SQL, which has that floor."""
-    import duckdb
-
-    got = queries.QUERIES["p2_neighbors"](spark, DATA).collect()
-    good = {r.vec_id: r.model for r in neighbors.usable(spark.read.parquet(f"{DATA}/embedding_data.parquet")).collect()}
-    same = {m: list(good.values()).count(m) for m in good.values()}
-    assert len(got) == sum(min(5, same[m] - 1) for m in good.values())
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW embedding_data AS SELECT * FROM read_parquet('{DATA}/embedding_data.parquet')")
-    want = con.execute(queries.SQL["p2_neighbors"]).fetchall()
-    assert {(r.vec_id, r.other_id, r.rank) for r in got if r.cos >= 0.8} == {(a, b, n) for a, b, _, n in want}
+def test_asked_queries_only(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, "m", np.float32(x).astype(float)) for i, x in enumerate(rng.standard_normal((120, 16)))]
+    rows += [(200 + i, "m", rows[7][2]) for i in range(8)]  # a class of copies of which only 200 is asked
+    df = spark.createDataFrame([(i, m, len(x), x.tolist()) for i, m, x in rows], "vec_id long, model string, dimensions int, embedding array<float>")
+    got: dict = {}
+    for r in neighbors.nearest(df, block=50, asked=F.col("vec_id") % 50 == 0).orderBy("vec_id", "rank").collect():
+        got.setdefault(r.vec_id, []).append(r.other_id)
+    want = brute_neighbors(rows, 5, -1)
+    assert got == {i: want[i] for i in (0, 50, 100, 200)}
+
+
+def test_recall_without_floor(spark):
+    """Top 5 of clustered vectors whose neighbours lie at cosines from about 0.5 up; vectors far from all others are left to the exact search."""
+    rng = np.random.default_rng(8)
+    centers = rng.standard_normal((150, 64))
+    x = np.repeat(centers, 8, 0) + rng.standard_normal((1200, 64)) * np.repeat(rng.uniform(0.3, 0.85, 150), 8)[:, None]
+    rows = [(i, "m", np.float32(v).astype(float)) for i, v in enumerate(x)]
+    df = spark.createDataFrame([(i, m, len(v), v.tolist()) for i, m, v in rows], "vec_id long, model string, dimensions int, embedding array<float>")
+    got = {(r.vec_id, r.other_id) for r in neighbors.neighbor_pairs(df, min_cos=None).collect()}
+    want = {(a, b) for a, v in brute_neighbors(rows, 5, -1).items() for b in v}
+    assert len(got & want) / len(want) >= 0.9
+
+
+def test_candidates_grow_with_the_cluster(spark):
+    """Vectors of one dense cluster share all buckets; candidates stay in proportion to their number."""
+    per_row = []
+    for n in (1000, 2000, 4000):
+        rng = np.random.default_rng(n)
+        x = rng.standard_normal(64) + rng.standard_normal((n, 64)) * 0.01
+        df = spark.createDataFrame([(i, "m", 64, v.tolist()) for i, v in enumerate(x)], "vec_id long, model string, dimensions int, embedding array<float>")
+        index = neighbors.Index()
+        reps = neighbors._classes(df)[1]
+        plans = {("m", 64): neighbors.plan(n, 0.8, index)}
+        rows = neighbors.shipments(reps, index, plans).repartition("part", "piece").sortWithinPartitions("part", "piece", "role")
+        pairs = rows.mapInPandas(lambda it: neighbors._meet(it, index, plans, 0.798, 8), "a bigint, b bigint")
+        per_row.append(pairs.count() / n / plans["m", 64].tables)
+    assert max(per_row) <= 8 and per_row[2] < 1.3 * per_row[0]
 
 
 def test_full_buckets_are_split(spark):
@@ -106,7 +131,7 @@ def test_full_buckets_are_split(spark):
     rows = [(i, "m", 64, (base + v).tolist()) for i, v in enumerate(near)]
     df = spark.createDataFrame(rows, "vec_id long, model string, dimensions int, embedding array<float>")
     whole = {tuple(r) for r in neighbors.undirected(neighbors.neighbor_pairs(df)).collect()}
-    parts = {tuple(r) for r in neighbors.undirected(neighbors.neighbor_pairs(df, index=neighbors.Index(block=16))).collect()}
+    parts = {tuple(r) for r in neighbors.undirected(neighbors.neighbor_pairs(df, index=neighbors.Index(part=64))).collect()}
     assert whole == parts and len(whole) >= 750
 
 
