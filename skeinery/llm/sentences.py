@@ -1,21 +1,22 @@
-"""Sentence boundaries across languages and scripts, by a hidden-event language model.
+"""Sentence boundaries across languages and scripts, by a hidden-event n-gram language model.
 
-Between the tokens of a paragraph stand hidden events: boundary or none. The model
-gives each candidate place the probability of an event after the words on its left, of
-the next word after an event or after none, and of two events at this distance; a forward-backward
-pass over the paragraph turns these into posteriors. Its counts come from
-all documents without labels: paragraph ends are sure boundaries and show which words
+Between the words of a paragraph stand hidden events: boundary or none. The model is an n-gram model of words and
+boundary tokens, with back-off: the probability of a boundary after a word and its mark, of a word after a boundary,
+and of a word after another without one. Sentence lengths make the probability of a boundary depend on where
+the last one was, so a forward-backward pass over the paragraph gives the posteriors that decide.
+
+The counts come from all documents without labels: paragraph ends are sure boundaries and show which words
 end sentences, paragraph starts show which words begin them, and a mark followed by a small letter
-is surely none. A word that stands before full stops but never ends a paragraph is an abbreviation.
+is surely none. Words before full stops are plain words or abbreviations, before names or within a sentence; a mixture of these
+types fitted to the counts of every word tells them apart.
 
-Candidates are final marks with what closes after them, and spaces in scripts written
-without marks. Blank lines, heading lines and list items delimit units for certain; no
-boundary lies inside brackets or quotations.
+Candidates are final marks with what closes after them. A paragraph without marks has candidates between all its words
+(at its spaces, in scripts that need none). Blank lines, heading lines and list items delimit units for certain; no
+boundary lies inside brackets or quotations. In scripts of South-East Asia a space is a boundary unless digits, Latin letters or a repeat mark stand beside it.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -26,16 +27,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinery.llm.sketch import count_cells
+from skeinery.session import stage
 
-#: Cells of each count table; words share cells by hash, so the model's size is fixed.
-CELLS = 1 << 18
+#: Of each kind of n-gram the model keeps those with more than this share of all counts, at most 2^20; the others are left to back-off.
+LEAST_SHARE = 2.0**-20
 
 #: A boundary needs at least this posterior.
 POSTERIOR = 0.5
 
+#: Words that a paragraph without marks needs to have candidates between them.
+UNMARKED_WORDS = 12
+
+#: Distances from the last boundary are counted in steps of so many characters, up to so many steps.
+STEP, FAR = 6, 64
+
 # Marks that may end a sentence, closing and opening signs, and pairs.
-FULL = "。！？।॥؟۔｡．"
+FULL = "。！？।॥؟۔｡．։።།༎។៕။"
 ELLIPSIS = "…"
 CLOSE = "\"'”’»›」』）)]】〉》“"
 OPEN = "\"'“‘„«‹「『（([【〈《¿¡"
@@ -46,18 +53,35 @@ _HEADING = regex.compile(r"\s*#{1,6}\s+\S")
 _ITEM = regex.compile(r"\s*(?:[-*+•‣◦·–—]|\p{Nd}{1,3}[.)]|[a-z]\))\s+\S")
 _NUMBERED = regex.compile(r"\s*\p{Nd}")
 _ENDS = regex.compile(rf"[.!?{FULL}{ELLIPSIS}:][{regex.escape(CLOSE)}]*\s*\Z")
-_LEFT = regex.compile(r"[\p{L}\p{M}\p{N}’'.\-]*\Z")
+_LEFT = regex.compile(r"(?r)[\p{L}\p{M}\p{N}’'.\-]*")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
+_TOKEN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]|[\p{L}\p{M}\p{N}]+(?:['’\-][\p{L}\p{M}\p{N}]+)*")
+_HAN = r"[\p{Han}\p{Hiragana}\p{Katakana}]"
+_HAN_GAP = regex.compile(rf"(?<={_HAN})[^\S\n]+(?={_HAN})")
 _THAI_GAP = regex.compile(r"(?<=[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])[^\S\n]+(?=[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])")
 _MID = regex.compile(r"(?<=[\p{Ll},] )\p{Lu}[\p{L}\p{M}]*")
+_SIGNS = regex.compile(r"[(（\[【「『«„“《)）\]】」』»”》\"]")
 _REPEAT_MARK = "ๆ"
 
-#: Kinds of counts: word before a full stop at a paragraph's end, before a sure non-boundary, at an open place; word starting a paragraph, capital word within a sentence.
-ENDS, NONE, OPEN_PLACE, STARTS, WITHIN = range(5)
+#: Kinds of counts. By word before a full stop: at a paragraph's end, before a small letter or digit, at an open place. By word:
+#: at a paragraph's start, as a capital within a sentence. By class of mark: sure boundaries and none. Lengths of paragraphs of one
+#: sentence. By token: all, last ones, first ones; pairs of tokens in a row.
+ENDS, NONE, OPEN_PLACE, STARTS, WITHIN, MARK_ENDS, MARK_NONE, LENGTHS, TOKENS, LAST, FIRST, PAIRS_OF = range(12)
+
+#: Classes of marks, and the log odds that stand for them before any counts.
+STOP, CALL, FULL_MARK, OTHER, GAP, HAN_SPACE = range(6)
+MARK_PRIOR = (0.0, 4.0, 6.0, 1.5, 0.0, 2.0)
 
+#: Codes of what follows a place.
+CASES = "Uldc-t"
 
-def _cell(word: str) -> int:
-    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) & (CELLS - 1)
+PLACE = np.dtype([("para", "i4"), ("at", "i4"), ("left", "u8"), ("right", "u8"), ("case", "u1"), ("mark", "u1"), ("size", "u1"), ("space", "u1"), ("closed", "u1"), ("sure", "i1")])
+PARA = np.dtype([("start", "i4"), ("end", "i4"), ("whole", "u1"), ("mark", "u1"), ("left", "u8"), ("right", "u8"), ("case", "u1")])
+_U64 = np.uint64
+
+
+def word_key(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
 @dataclass(slots=True)
@@ -105,7 +129,7 @@ def blocks(text: str) -> Iterator[tuple[int, int, bool]]:
 def _spans(p: str) -> list[tuple[int, int]]:
     """Outermost bracketed and quoted stretches (positions of both signs) of a paragraph."""
     out, stack = [], []
-    for m in regex.finditer(r"[(（\[【「『«„“《)）\]】」』»”》\"]", p):
+    for m in _SIGNS.finditer(p):
         i, ch = m.start(), m.group()
         if stack and ch == stack[-1][1]:
             begin, _ = stack.pop()
@@ -172,7 +196,7 @@ def places(p: str) -> list[Place]:
         space = nxt > b
         case, right = _case(p, nxt)
         full = any(c in FULL for c in mark)
-        left = _LEFT.search(p, max(0, a - 40), a).group().strip(".'’")
+        left = _LEFT.search(p, 0, a).group().strip(".'’")
         sure: int | None = None
         if not space and not full:
             # no space: only a mark glued between a word and a capital may end a sentence
@@ -210,145 +234,367 @@ def _left_key(left: str) -> str:
     return left.lower()
 
 
-def observe(texts: Iterable[str | None]) -> Counter:
-    """(kind, cell) counts of some documents."""
-    seen: Counter = Counter()
-    for text in texts:
-        if not text:
+def _size(key: str) -> int:
+    """Class of a word before a full stop: number, initial, or by length."""
+    return 0 if key == "<number>" else 1 if key == "<initial>" else 2 if len(key) <= 2 else 3 if len(key) <= 4 else 4
+
+
+def _class_of(mark: str) -> int:
+    if any(c in FULL for c in mark):
+        return FULL_MARK
+    if mark == ".":
+        return STOP
+    return CALL if mark.strip("!?") == "" else OTHER
+
+
+def gaps(p: str) -> Iterator[tuple[int, str, str, int]]:
+    """(start of what follows, token before, token after, class) of the candidates of a paragraph without marks."""
+    tokens = [(m.start(), m.end(), m.group().lower()) for m in _TOKEN.finditer(p)]
+    spans = _spans(p)
+    spaced = [(x, y) for x, y in zip(tokens, tokens[1:]) if p[x[1] : y[0]].isspace()]
+    han = {m.end() for m in _HAN_GAP.finditer(p)}
+    if len(spaced) + 1 < UNMARKED_WORDS:
+        spaced = [(x, y) for x, y in spaced if y[0] in han]
+    for x, y in spaced:
+        if not any(a < y[0] <= b for a, b in spans):
+            yield y[0], x[2], y[2], HAN_SPACE if y[0] in han else GAP
+
+
+def parse(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The paragraphs of a text and their candidates, as far as the text alone shows them."""
+    paras, found = [], []
+    for start, end, whole in blocks(text or ""):
+        if whole:
+            paras.append((start, end, 1, OTHER, 0, 0, 4))
             continue
-        for start, end, whole in blocks(text):
-            if whole:
-                continue
+        p = text[start:end]
+        bare = p.rstrip().rstrip(CLOSE)
+        ends = _ENDS.search(bare)
+        mark = (OTHER if bare.endswith("..") else _class_of(bare[-1])) if ends and bare[-1] != ":" else GAP
+        left = _left_key(_LEFT.search(bare, 0, len(bare) - 1).group().strip(".'’")) if mark == STOP else ""
+        case, right = _case(p, 0)
+        n = len(paras)
+        xs = places(p)
+        for x in xs:
+            key = _left_key(x.left)
+            found.append((n, start + x.at, word_key(key), word_key(x.right), CASES.index(x.case), GAP if x.case == "t" else _class_of(x.mark), _size(key), x.space, x.closed, -1 if x.sure is None else x.sure))
+        if not xs and not ends:
+            for at, before, after, kind in gaps(p):
+                found.append((n, start + at, word_key(before), word_key(after), 3, kind, 4, 1, 0, -1))
+        paras.append((start, end, 0, mark, word_key(left) if left else 0, word_key(right), CASES.index(case)))
+    return np.array(paras, PARA), np.array(found, PLACE)
+
+
+def observe(texts: Iterable[str | None], parsed: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(kind, keys, counts) of some parsed documents."""
+    parts: dict[int, list[np.ndarray]] = {}
+
+    def add(kind: int, keys: np.ndarray) -> None:
+        parts.setdefault(kind, []).append(np.asarray(keys, _U64))
+
+    middles, words, owner = [], [], []
+    for text, (paras, found) in zip(texts, parsed):
+        open_ = paras[paras["whole"] == 0]
+        add(ENDS, open_["left"][open_["mark"] == STOP])
+        add(STARTS, open_["right"][(open_["case"] < 2) & (open_["mark"] < GAP)])
+        add(MARK_ENDS, open_["mark"][open_["mark"] < GAP])
+        low = (found["case"] == 1) & (found["closed"] == 0)
+        add(MARK_NONE, found["mark"][low])
+        stop = found["mark"] == STOP
+        none = stop & ((found["case"] == 1) | (found["case"] == 2)) & (found["closed"] == 0)
+        add(NONE, found["left"][none])
+        add(OPEN_PLACE, found["left"][stop & ~none & (found["sure"] < 0)])
+        alone = np.ones(len(paras), bool)
+        alone[found["para"]] = False
+        alone &= (paras["whole"] == 0) & (paras["mark"] < GAP)
+        add(LENGTHS, np.minimum((paras["end"] - paras["start"])[alone] // STEP, FAR - 1))
+        for start, end in open_[["start", "end"]].tolist():
             p = text[start:end]
-            tail = p.rstrip()
-            bare = tail.rstrip(CLOSE)
-            if bare.endswith(".") and not bare.endswith(".."):
-                left = _LEFT.search(bare, max(0, len(bare) - 40), len(bare) - 1).group().strip(".'’")
-                seen[ENDS, _cell(_left_key(left))] += 1
-            case, right = _case(p, 0)
-            if case in "Ul" and bare[-1:] in ".!?":
-                seen[STARTS, _cell(right)] += 1
-            for x in places(p):
-                if x.mark == ".":
-                    if x.case in "ld" and not x.closed:
-                        seen[NONE, _cell(_left_key(x.left))] += 1
-                    elif x.sure is None:
-                        seen[OPEN_PLACE, _cell(_left_key(x.left))] += 1
-            for m in _MID.finditer(p):
-                seen[WITHIN, _cell(m.group())] += 1
-    return seen
+            middles += _MID.findall(p)
+            tokens = _TOKEN.findall(p.lower())
+            words += tokens
+            owner.append(len(tokens))
+    number, names = pd.factorize(np.array(middles, object))
+    add(WITHIN, np.array([word_key(w) for w in names], _U64)[number])
+    number, names = pd.factorize(np.array(words, object))
+    keys = np.array([word_key(w) for w in names], _U64)[number]
+    size = np.array([n for n in owner if n], np.int64)
+    lasts = np.cumsum(size) - 1
+    add(TOKENS, keys)
+    add(LAST, keys[lasts])
+    add(FIRST, keys[lasts - size + 1])
+    inner = np.ones(len(keys), bool)
+    inner[lasts] = False
+    at = np.flatnonzero(inner)
+    add(PAIRS_OF, pair_key(keys[at], keys[at + 1]))
+    for kind, some in parts.items():
+        yield kind, *np.unique(np.concatenate(some), return_counts=True)
+
+
+def pair_key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    x = (left * _U64(0x9E3779B97F4A7C15)) ^ right
+    return (x ^ (x >> _U64(31))) * _U64(0xC2B2AE3D27D4EB4F)
+
+
+class Table:
+    """Counts by key, and their sum over all keys."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, total: float):
+        order = np.argsort(keys)
+        self.keys, self.counts, self.total = keys[order], counts[order].astype(np.float64), float(total)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.counts[at], 0.0)
+
+
+def tables(rows: Iterable[tuple[int, np.ndarray, np.ndarray, float]]) -> list[Table]:
+    """The model's count tables from (kind, keys, counts, total)."""
+    made = {kind: Table(keys, counts, total) for kind, keys, counts, total in rows}
+    empty = Table(np.empty(0, _U64), np.empty(0), 0)
+    return [made.get(k, empty) for k in range(12)]
 
 
 class Model:
-    """The hidden-event model from the five count tables."""
-
-    def __init__(self, counts: np.ndarray):
-        ends, none, open_, starts, within = (counts[i].astype(np.float64) for i in range(5))
-        # evidence that a word before full stops is a plain word: how often it ends a paragraph, stands at an
-        # open place, or is followed by a small letter, against the same rates of an abbreviation
-        self.plain = ends * np.log(0.2 / 0.01) + open_ * np.log(0.79 / 0.97) + none * np.log(0.02 / 0.5)
-        self.starts = starts
-        total_s, total_w = starts.sum() + 1, within.sum() + 1
-        self.lift = np.log((starts + 0.5) / (total_s + CELLS * 0.001)) - np.log((within + 0.5) / (total_w + CELLS * 0.001))
-
-    def odds(self, x: Place) -> float:
-        """Log odds of a boundary at a place, from its neighbours alone."""
-        if x.sure is not None:
-            return 30.0 if x.sure else -30.0
-        if x.case == "t":
-            return 5.0
-        if any(c in FULL for c in x.mark):
-            return 6.0
-        right = 0.0
-        if x.case in "Ul" and x.right:
-            right = 0.7 * float(np.clip(self.lift[_cell(x.right)], -2.5, 2.5))
-        if x.case == "l":
-            # a name in small letters may begin a sentence if it begins paragraphs
-            begins = self.starts[_cell(x.right)] if x.right else 0
-            right += -12.0 if begins < 3 else -0.5
-        elif x.case == "d":
-            right -= 3.0
-        if x.mark.strip("!?") == "":
-            return 4.0 + right
-        if x.mark != ".":
-            return (3.0 if x.case == "U" else 1.0) + right
-        key = _left_key(x.left)
-        prior = 4.0 if len(key) > 4 else 1.4 if len(key) > 2 else -0.5
-        if key.startswith("<"):
-            prior = -0.5
-        base = float(np.clip(prior + self.plain[_cell(key)], -8, 8))
-        return base + right - (0.0 if x.space else 1.0)
-
-    def boundaries(self, p: str) -> list[int]:
-        """Starts of the further sentences of a paragraph, by forward-backward posteriors."""
-        xs = places(p)
-        if not xs:
-            return []
-        local = np.array([self.odds(x) for x in xs])
-        if len(xs) == 1:
-            return [xs[0].at] if local[0] > np.log(POSTERIOR / (1 - POSTERIOR)) else []
-        # two events close together are unlikely: the factor of (event, event) by the text between them
-        gap = np.array([len(_WORD.findall(p, a.at, b.end)) if b.end - a.at < 12 else 9 for a, b in zip(xs, xs[1:])])
-        pair = np.where(gap <= 1, -1.5, 0.0)
-        pair = np.where([b.mark != "." for b in xs[1:]], 0.0, pair)
-        n = len(xs)
-        fwd = np.zeros((n, 2))
-        bwd = np.zeros((n, 2))
-        fwd[0] = 0.0, local[0]
-        for i in range(1, n):
-            stay = np.logaddexp(fwd[i - 1, 0], fwd[i - 1, 1])
-            fwd[i] = stay, local[i] + np.logaddexp(fwd[i - 1, 0], fwd[i - 1, 1] + pair[i - 1])
-        for i in range(n - 2, -1, -1):
-            ahead = local[i + 1] + bwd[i + 1, 1]
-            bwd[i] = np.logaddexp(bwd[i + 1, 0], ahead), np.logaddexp(bwd[i + 1, 0], ahead + pair[i])
-        odds = fwd[:, 1] + bwd[:, 1] - fwd[:, 0] - bwd[:, 0]
-        return [x.at for x, o in zip(xs, odds) if o > np.log(POSTERIOR / (1 - POSTERIOR))]
+    """The hidden-event model from its count tables."""
+
+    # before any counts: shares of (paragraph end, open place, small letter or digit) of the full stops after plain words, after abbreviations
+    # before names and after those within a sentence; pseudo-counts of these; share of plain words among numbers, initials and words by length
+    SHAPES, PSEUDO = ((0.2, 0.79, 0.01), (0.004, 0.986, 0.01), (0.01, 0.5, 0.49)), 200.0
+    SHARE = (0.38, 0.38, 0.38, 0.8, 0.982)
+
+    def __init__(self, counts: list[Table], events: bool = True):
+        self.t = counts
+        self.events = events
+        self._types()
+        ends, none = counts[MARK_ENDS].of(np.arange(6, dtype=_U64)), counts[MARK_NONE].of(np.arange(6, dtype=_U64))
+        p = 1 / (1 + np.exp(-np.array(MARK_PRIOR)))
+        # of the boundaries after plain words this share stands at the end of a paragraph
+        self.mark = np.log((ends / self.shapes[0, 0] + 50 * p) / (none + 50 * (1 - p)))
+        # a capital after a boundary against one within a sentence
+        self.capital = float(np.log((counts[STARTS].total + 9) / (counts[FIRST].total + 10)) - np.log((counts[WITHIN].total + 1) / (counts[TOKENS].total + 20)))
+        # log odds of a boundary between any two tokens
+        self.every = self.mark[GAP] = float(np.log((counts[LAST].total + 1) / (counts[TOKENS].total + 19)))
+        # length of sentences: how much likelier than on average a boundary is at a distance
+        n = counts[LENGTHS].of(np.arange(FAR, dtype=_U64))
+        left = n[::-1].cumsum()[::-1]
+        mean = max(n.sum(), 1.0) / max((n * (np.arange(FAR) + 1)).sum(), 1.0)
+        hazard = (n + 50 * mean) / (left + 50)
+        odds = hazard / np.maximum(1 - hazard, 1e-3)
+        self.length = np.clip(odds / (mean / max(1 - mean, 1e-3)), 0.15, 2.0) if n.sum() else np.ones(FAR)
+
+    def _types(self) -> None:
+        """Fit the types of words before full stops by expectation-maximization; the counts of every word are one draw."""
+        keys = np.unique(np.concatenate([self.t[k].keys for k in (ENDS, OPEN_PLACE, NONE)]))
+        keys = keys[~np.isin(keys, np.array([word_key("<number>"), word_key("<initial>")], _U64))]  # not words
+        c = np.stack([self.t[k].of(keys) for k in (ENDS, OPEN_PLACE, NONE)], 1)
+        start = np.array(self.SHAPES)
+        self.shapes, share = start, np.array([0.6, 0.2, 0.2])
+        for _ in range(10 if len(keys) else 0):
+            like = c @ np.log(self.shapes).T + np.log(share)
+            own = np.exp(like - like.max(1, keepdims=True))
+            own /= own.sum(1, keepdims=True)
+            share = (own.sum(0) + 20) / (len(keys) + 60)
+            # every word counts alike beyond PSEUDO / 10 occurrences, so that a frequent one does not bend its type
+            light = c * np.minimum(1, self.PSEUDO / 10 / np.maximum(c.sum(1, keepdims=True), 1))
+            sums = own.T @ light
+            self.shapes = (self.PSEUDO * start + sums) / (self.PSEUDO + sums.sum(1, keepdims=True))
+        self.size_odds = np.log(np.array(self.SHARE) / (1 - np.array(self.SHARE)))
+
+    def plain(self, left: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Log odds of a plain word against either kind of abbreviation."""
+        c = np.stack([self.t[k].of(left) for k in (ENDS, OPEN_PLACE, NONE)], 1)
+        like = c @ np.log(self.shapes).T
+        return self.size_odds[size] + like[:, 0] - np.logaddexp(like[:, 1], like[:, 2]) + np.log(2)
+
+    def lift(self, right: np.ndarray) -> np.ndarray:
+        """log P(word | boundary) / P(word | none), smoothed alike."""
+        s, w = self.t[STARTS], self.t[WITHIN]
+        return np.log((s.of(right) + 0.5) / (s.total + 250)) - np.log((w.of(right) + 0.5) / (w.total + 250))
+
+    def odds(self, x: np.ndarray) -> np.ndarray:
+        """Log odds of a boundary at the places, from their words alone."""
+        case = x["case"]
+        base = self.mark[x["mark"]].copy()
+        stop = x["mark"] == STOP
+        base[stop] = np.clip(self.plain(x["left"][stop], x["size"][stop]), -8, 8) - np.where(x["space"][stop] > 0, 0.0, 1.0)
+        other = x["mark"] == OTHER
+        base[other] += np.where(case[other] == 0, self.capital, -0.5)
+        worded = (case < 2) & (x["mark"] != FULL_MARK)
+        right = np.zeros(len(x))
+        right[worded] = 0.7 * np.clip(self.lift(x["right"][worded]), -2.5, 2.5)
+        small = worded & (case == 1)  # a name in small letters may begin a sentence if it begins paragraphs
+        right[small] += np.where(self.t[STARTS].of(x["right"][small]) < 3, -12.0, -0.5)
+        right[(case == 2) & (x["mark"] != FULL_MARK)] -= 3.0
+        out = base + right
+        gap = (x["mark"] >= GAP) & (case != 5)
+        if gap.any():
+            out[gap] = base[gap] + self.between(x["left"][gap], x["right"][gap])
+        out[case == 5] = 5.0
+        out[x["sure"] == 1], out[x["sure"] == 0] = 30.0, -30.0
+        return out
+
+    def between(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """log odds that the tokens add to those of any gap: P(boundary | left) P(right | boundary) / P(none | left) P(right | left), backing off to single tokens."""
+        all_, last, first, pairs = self.t[TOKENS], self.t[LAST], self.t[FIRST], self.t[PAIRS_OF]
+        one = (all_.of(right) + 0.5) / (all_.total + 500)
+        n = all_.of(left)
+        mean = 1 / (1 + np.exp(-self.every))
+        event = (last.of(left) + 4 * mean) / (n + 4)
+        event = np.minimum(event, 0.99)
+        start = (first.of(right) + 20 * one) / (first.total + 20)
+        follow = (pairs.of(pair_key(left, right)) + 20 * one) / (n + 20)
+        return np.log(event / (1 - event)) - self.every + np.log(start / follow)
+
+    def posteriors(self, paras: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Posterior of a boundary at every place, by forward-backward passes over all paragraphs at once.
+
+        The state is the distance from the last boundary.
+        """
+        local = np.clip(self.odds(x), -30, 30)
+        if not self.events or not len(x):
+            return 1 / (1 + np.exp(-local))
+        begin = paras["start"][x["para"]]
+        new = np.ones(len(x), bool)
+        new[1:] = x["para"][1:] != x["para"][:-1]
+        starts = np.flatnonzero(new)
+        n = np.diff(np.append(starts, len(x)))
+        prev = np.where(new, begin, np.concatenate([[0], x["at"][:-1]]))
+        step = np.minimum((x["at"] - prev) // STEP, FAR - 1)
+        closing = np.minimum((paras["end"][x["para"][starts]] - x["at"][starts + n - 1]) // STEP, FAR - 1)
+        order = np.argsort(-n, kind="stable")
+        starts, n, closing = starts[order], n[order], closing[order]
+        weight = np.exp(local)
+        ahead = np.zeros((len(starts), FAR))
+        ahead[:, 0] = 1
+        before = np.empty((len(x), FAR), np.float32) if len(x) <= 1 << 21 else None
+        if before is None:
+            half = int(np.searchsorted(x["para"], x["para"][len(x) // 2]))
+            if 0 < half < len(x):
+                return np.concatenate([self.posteriors(paras, x[:half]), self.posteriors(paras, x[half:])])
+            before = np.empty((len(x), FAR), np.float32)
+        cols = np.arange(FAR)
+        for i in range(int(n[0])):
+            m = int(np.searchsorted(-n, -i, "left"))  # paragraphs with more than i places
+            at = starts[:m] + i
+            here = self._shift(ahead[:m], step[at])
+            before[at] = here
+            event = (here * self.length).sum(1) * weight[at]
+            here = here.copy()
+            here[:, 0] += event
+            ahead[:m] = here / here.sum(1, keepdims=True)
+        out = np.empty(len(x))
+        behind = self.length[np.minimum(cols[None, :] + closing[:, None], FAR - 1)]
+        for i in range(int(n[0]) - 1, -1, -1):
+            m = int(np.searchsorted(-n, -i, "left"))
+            at = starts[:m] + i
+            here, later = before[at], behind[:m]
+            event = (here * self.length).sum(1) * weight[at] * later[:, 0]
+            out[at] = event / (event + (here * later).sum(1))
+            total = later + self.length * (weight[at] * later[:, 0])[:, None]
+            # seen from before the step that leads here
+            back = np.take_along_axis(total, np.minimum(cols[None, :] + step[at][:, None], FAR - 1), 1)
+            behind[:m] = back / back.max(1, keepdims=True)
+        return out
+
+    @staticmethod
+    def _shift(state: np.ndarray, step: np.ndarray) -> np.ndarray:
+        """The state after ``step`` further steps; the last one stands for all beyond."""
+        col = np.arange(FAR)[None, :] - step[:, None]
+        out = np.where(col >= 0, np.take_along_axis(state, np.maximum(col, 0), 1), 0.0)
+        beyond = state.sum(1) - out.sum(1)
+        out[:, FAR - 1] += np.maximum(beyond, 0)
+        return out
+
+    def starts(self, parsed: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        """Per document the places that are boundaries."""
+        sizes = [len(p) for p, _ in parsed]
+        paras = np.concatenate([p for p, _ in parsed]) if parsed else np.empty(0, PARA)
+        # positions of documents do not meet, as every paragraph is of one document
+        shift = np.cumsum([0, *sizes])
+        found = [f.copy() for _, f in parsed]
+        for f, by in zip(found, shift):
+            f["para"] += by
+        x = np.concatenate(found) if found else np.empty(0, PLACE)
+        chosen = self.posteriors(paras, x) > POSTERIOR
+        ends = np.cumsum([len(f) for f in found])
+        return [f["at"][chosen[e - len(f) : e]] for f, e in zip(found, ends)]
+
+    def units_of(self, texts: list[str | None], parsed: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[list[tuple[int, int]]]:
+        for text, (paras, _), at in zip(texts, parsed, self.starts(parsed)):
+            out = []
+            borders = np.unique(np.concatenate([paras["start"], paras["end"], at])).tolist()
+            inside = dict(zip(paras["start"].tolist(), paras["end"].tolist()))
+            stop = -1
+            for a, b in zip(borders, borders[1:]):
+                if a in inside:
+                    stop = inside[a]
+                if a >= stop:
+                    continue
+                piece = text[a:b]
+                bare = piece.strip()
+                if bare:
+                    lead = len(piece) - len(piece.lstrip())
+                    out.append((a + lead, a + lead + len(bare)))
+            yield out
 
     def units(self, text: str | None) -> list[tuple[int, int]]:
         """(start, end) code-point positions of the text's sentences, without white space around."""
-        out = []
-        if not text:
-            return out
-        for start, end, whole in blocks(text):
-            p = text[start:end]
-            cuts = [0, *([] if whole else self.boundaries(p)), len(p)]
-            for a, b in zip(cuts, cuts[1:]):
-                piece = p[a:b]
-                lead = len(piece) - len(piece.lstrip())
-                if piece.strip():
-                    out.append((start + a + lead, start + a + len(piece.rstrip())))
-        return out
+        return next(self.units_of([text], [parse(text)]))
+
+
+def _parsed(pdf: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(np.frombuffer(a, PARA), np.frombuffer(b, PLACE)) for a, b in zip(pdf["paras"], pdf["places"])]
+
+
+def parsed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, text, paras, places of the documents with text, one row per id and text, as a table in the shared folder."""
+    kind = dict(docs.dtypes)[id_col]
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            parsed = [parse(t) for t in pdf[text_col]]
+            yield pd.DataFrame({id_col: pdf[id_col], text_col: pdf[text_col], "paras": [p.tobytes() for p, _ in parsed], "places": [f.tobytes() for _, f in parsed]})
+
+    some = docs.select(id_col, text_col).where(F.col(text_col).isNotNull()).distinct()
+    return stage(some.mapInPandas(run, f"`{id_col}` {kind}, `{text_col}` string, paras binary, places binary"))
 
 
-def train(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """The model's five count tables (fixed size) over all documents."""
+def train(parsed: DataFrame, text_col: str = "text") -> list[Table]:
+    """The model's count tables over all documents; each holds at most 2^20 n-grams."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: Counter = Counter()
         for pdf in batches:
-            total += observe(pdf[text_col])
-        keys = list(total)
-        yield pd.DataFrame({"kind": [k for k, _ in keys], "cell": [c for _, c in keys], "n": [total[k] for k in keys]})
+            for kind, keys, n in observe(pdf[text_col], _parsed(pdf)):
+                yield pd.DataFrame({"kind": kind, "key": keys.view(np.int64), "n": n})
 
-    got = docs.select(text_col).mapInPandas(run, "kind bigint, cell bigint, n bigint").groupBy("kind", "cell").agg(F.sum("n").alias("n"))
-    return count_cells(got, F.col("kind") * CELLS + F.col("cell"), 5 * CELLS, F.col("n")).reshape(5, CELLS)
+    sums = parsed.select(text_col, "paras", "places").mapInPandas(run, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    sums = stage(sums)
+    totals = {r["kind"]: r["n"] for r in sums.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    kept = sums.where(F.col("n") > F.element_at(F.create_map(*[F.lit(v) for k, n in totals.items() for v in (k, n * LEAST_SHARE)]), F.col("kind"))) if totals else sums
+    rows = kept.toPandas()
+    return tables((k, g["key"].to_numpy(np.int64).view(_U64), g["n"].to_numpy(), totals[k]) for k, g in rows.groupby("kind"))
 
 
 def split_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, sentence_no (from 0), start_pos, end_pos, sentence of every document, in order.
 
     Positions are 0-based code points; null, empty and blank texts have no row; texts of any
-    length are read whole; repeated rows of an id give its sentences once; further columns are ignored.
+    length are read whole. Rows that repeat id and text give their sentences once; different texts under one id, or without
+    an id, are all split. Further columns are ignored.
     """
     kind = dict(docs.dtypes)[id_col]
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, text_col))
+    parsed = parsed_documents(docs, id_col, text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(train(parsed, text_col))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = None
         for pdf in batches:
             model = model or Model(shared.value)
-            rows = [(key, i, a, b, text[a:b]) for key, text in zip(pdf[id_col], pdf[text_col]) for i, (a, b) in enumerate(model.units(text))]
+            texts = pdf[text_col].tolist()
+            rows = [(key, i, a, b, text[a:b]) for key, text, units in zip(pdf[id_col], texts, model.units_of(texts, _parsed(pdf))) for i, (a, b) in enumerate(units)]
             yield pd.DataFrame(rows, columns=[id_col, "sentence_no", "start_pos", "end_pos", "sentence"])
 
-    one = docs.select(id_col, text_col).where(F.col(text_col).isNotNull()).dropDuplicates([id_col])
-    return one.mapInPandas(run, f"`{id_col}` {kind}, sentence_no int, start_pos int, end_pos int, sentence string")
+    return parsed.mapInPandas(run, f"`{id_col}` {kind}, sentence_no int, start_pos int, end_pos int, sentence string")

@@ -307,15 +307,17 @@ def test_encode_edge_cases(spark):
 TRAINING = ["The machine works. Dr. Smith came at 6 p.m. yesterday. It ended.", "Dr. Jones left. He slept, etc. The end came.", "Prices rose by 3.5 percent. We bought tea, milk, etc.", "Dr. Brown said no.", "They left.", "It works.", "The tea was 2.50 each.", "Who left? He did."] * 20
 
 
+def trained(texts, events=True):
+    rows = [(k, keys, n, n.sum()) for k, keys, n in sentences.observe(texts, [sentences.parse(t) for t in texts])]
+    return sentences.Model(sentences.tables(rows), events)
+
+
 @pytest.fixture(scope="module")
 def sentence_model():
-    counts = np.zeros((5, sentences.CELLS), np.int64)
-    for (k, c), n in sentences.observe(TRAINING).items():
-        counts[k, c] = n
-    return sentences.Model(counts)
+    return trained(TRAINING)
 
 
-EMPTY_MODEL = sentences.Model(np.zeros((5, sentences.CELLS), np.int64))
+EMPTY_MODEL = trained([])
 
 CASES = {
     "Dr. Smith left. The machine works.": ["Dr. Smith left.", "The machine works."],
@@ -342,6 +344,49 @@ def test_sentences(sentence_model, text):
     assert [text[a:b] for a, b in sentence_model.units(text)] == CASES[text]
 
 
+def unmarked_corpus():
+    """Sentences of a small grammar, ended by full stops, and their words run on without any mark."""
+    rng = random.Random(9)
+    subject, verb, thing, when = ["we", "they", "the visitors", "our guests"], ["painted", "carried", "bought", "found"], ["a lamp", "the old boat", "two chairs", "some bread"], ["yesterday", "in spring", "at noon"]
+    made = [f"{rng.choice(subject)} {rng.choice(verb)} {rng.choice(thing)} {rng.choice(when)}" for _ in range(900)]
+    texts = [" ".join(x[0].upper() + x[1:] + "." for x in made[i : i + 1 + i % 4]) for i in range(0, 800, 4)]
+    return texts, [made[i : i + 5] for i in range(800, 900, 5)]
+
+
+def test_unmarked_text_is_split():
+    texts, runs = unmarked_corpus()
+    model, without = trained(texts), trained(texts, events=False)
+    good = total = changed = 0
+    for run in runs:
+        text = " ".join(run)
+        want = {text.index(" ".join(run[i:])) for i in range(len(run))}
+        got = {a for a, _ in model.units(text)}
+        good, total = good + len(want & got), total + len(want | got)
+        changed += got != {a for a, _ in without.units(text)}
+    assert good / total >= 0.9
+    none = trained([])
+    assert sum(len(none.units(" ".join(run))) == 1 for run in runs) >= len(runs) // 2  # the counts decide
+
+
+def test_events_and_counts_decide():
+    """A boundary so close to another that the sentence between them would be shorter than any seen is left out by the forward-backward pass only."""
+    texts = [f"The {a} engine of the old mill near the {b} river stopped for good at noon." for a in ("large", "small", "green", "heavy") for b in ("long", "cold", "wide", "deep")] * 10
+    model, without = trained(texts), trained(texts, events=False)
+    p = "The large engine of the old mill stopped! Oh? The small engine of the old mill stopped for good."
+    paras, x = sentences.parse(p)
+    a, b = model.posteriors(paras, x), without.posteriors(paras, x)
+    assert (a < b - 0.001).any() and len(x) == 2
+    assert trained([]).units("It was approx. Ten of us.") != trained(["It was approx. ten. We saw approx. ten of them, approx. 3."] * 30).units("It was approx. Ten of us.")
+
+
+def test_han_clauses_parted_by_spaces():
+    assert len(EMPTY_MODEL.units("今天天气很好 我们去公园 他在家看书 明天再见")) == 4
+
+
+def test_long_word_before_a_mark():
+    assert sentences.places("x" * 5000 + ". Next")[0].left == "x" * 5000
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="aB .!?\n\"'()“”«»。「」1#-…ก ๆ", max_size=120))
 def test_sentences_cover_text(text):
