@@ -12,7 +12,7 @@ DIMENSIONS = 1 << 17
 
 
 class Features:
-    """Maps feature names to dimensions, remembering those seen."""
+    """Maps feature names to dimensions, remembering those of the (bounded) training sample."""
 
     def __init__(self, dimensions: int = DIMENSIONS):
         self.dimensions = dimensions
@@ -22,8 +22,7 @@ class Features:
         i = self.known.get(name)
         if i is None:
             i = xxhash.xxh64_intdigest(name.encode("utf-8", "surrogatepass")) % self.dimensions
-            if len(self.known) < 1 << 18:
-                self.known[name] = i
+            self.known[name] = i
         return i
 
 

@@ -90,6 +90,12 @@ def p5_real(spark: SparkSession, d: str) -> DataFrame:
     return residue.without_residue(results.select("result_id", "url", "title", "content", "http_status", "error"), judged, keep_errors=True)
 
 
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    """Records labelled by rules, those of unseen hosts among them, and how often the classifier agrees there."""
+    _, report = residue.train(residue.sample(table(prepare(spark), d, "crawl_results")))
+    return spark.createDataFrame([(report["labelled"], report["held_out"], report["agreement"])], "labelled long, held_out long, agreement double")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_pairs(table(prepare(spark), d, "page_records"))
 
@@ -132,6 +138,7 @@ QUERIES = {
     "p4_incremental": p4_incremental,
     "p5_found": p5_found,
     "p5_real": p5_real,
+    "p5_report": p5_report,
     "p6_found": p6_found,
     "p6_groups": p6_groups,
     "p8_ids": p8_ids,

@@ -2,8 +2,8 @@
 
 A regularized linear classifier over hashed word n-grams, length, title and status features
 decides for each record. It is trained without labels given by hand: response status, phrases and the marks of
-unfilled fields label part of a bounded sample, and the words of those records carry over to the
-rest. The main lines of a record come from the minimum-cut labelling, so notices in the page frame have no say.
+unfilled fields label part of a bounded sample. These rules give labels only, never features: n-grams, lengths, title and status decide, also
+where no rule applies. The main lines of a record come from the minimum-cut labelling, so notices in the page frame have no say.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -42,6 +43,7 @@ FILLER_SEEDS = re.compile(
 LATIN_FILLER = frozenset("lorem ipsum dolor amet consectetur adipiscing elit sed tempor labore magna aliqua quis nunc velit tellus felis purus vitae mauris justo augue odio donec porta cras".split())
 EMPTY_VALUES = re.compile(r"\[object object\]|\bundefined\b|\bnull\b|\bnan\b")
 
+_TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 _CODE = re.compile(r"`[^`]*`|<code>.*?</code>|[\"“„«][^\"”“»]{0,80}[\"”“»]")
 
 
@@ -57,9 +59,24 @@ def _filler(words: list[str]) -> bool:
     return len(words) > 4 and sum(w in LATIN_FILLER for w in words) >= 0.5 * len(words)
 
 
+def ngrams(text: str, common: set[str]) -> list[str]:
+    """Names of the word and sign n-grams of a line, up to two in a row; what it quotes or sets as code is left out, rare words are names."""
+    tokens = [w if w in common or not w[0].isalpha() else "<name>" for w in _TOKEN.findall(_CODE.sub(" ", text).lower())]
+    return boilerplate.word_names(["<n>" if t[0].isdigit() else t for t in tokens])
+
+
+def examine_all(records: list[tuple], model: boilerplate.Model) -> Iterator[Record]:
+    """Features and weak labels of (content, title, url, status) in order; their lines are labelled together."""
+    for (_, title, _, status), (lines, main) in zip(records, model.label_all((c, t, u) for c, t, u, _ in records)):
+        yield _examine(lines, main, title, status, model)
+
+
 def examine(content: str, title: str | None, url: str | None, status: int | None, model: boilerplate.Model) -> Record:
     """Features and weak label of one record."""
-    lines, main = model.label(content, title, url)
+    return next(examine_all([(content, title, url, status)], model))
+
+
+def _examine(lines: list[Line], main: list[bool], title: str | None, status: int | None, model: boilerplate.Model) -> Record:
     head = (title or "").strip()
     body = [x for x, keep in zip(lines, main) if keep and not x.title and x.marker not in ("f", "c")]
     prose = [x for x in body if x.own and x.ends and len(x.words) > 7]
@@ -73,35 +90,26 @@ def examine(content: str, title: str | None, url: str | None, status: int | None
     known_head = sum(w in model.common and w[0].isalpha() for w in head_words)
     in_body = {w for x in body for w in x.words}
     own_head = known_head > 0 and any(w[0].isalpha() and w not in model.common and w in in_body for w in head_words)
-    f: list[str] = ["bias"]
-    marks_head = any(PLACEHOLDER.search(_CODE.sub(" ", h)) or EMPTY_VALUES.search(h.lower()) for h in heads) and not (own_head and content_like)
-    marks_body = [x for x in body if PLACEHOLDER.search(_CODE.sub(" ", x.text))]
-    filler = [x for x in body if _filler(x.words) or FILLER_SEEDS.search(_CODE.sub(" ", x.text.lower()))]
-    if marks_head:
-        f.append("head marks")
-    if marks_body:
-        f.append("body marks")
-    if filler:
-        f.append("filler")
+    # the marks below only label; the features hold no rule's outcome but the record's words, lengths and status
+    marks_head = any(PLACEHOLDER.search(_CODE.sub(" ", h)) or EMPTY_VALUES.search(h.lower()) or FILLER_SEEDS.search(_CODE.sub(" ", h.lower())) for h in heads) and not (own_head and content_like)
+    marks_body = any(PLACEHOLDER.search(_CODE.sub(" ", x.text)) for x in body)
+    filler = any(_filler(x.words) or FILLER_SEEDS.search(_CODE.sub(" ", x.text.lower())) for x in body)
     where = "full" if content_like > 1 else "one" if content_like else "none"
-    f += [f"prose {where}", f"words {where} {min(words, 400).bit_length()}", f"lines {min(len(body), 4)}"]
+    f = ["bias", f"prose {where}", f"words {where} {min(words, 400).bit_length()}", f"lines {min(len(body), 4)}"]
     group = "none" if status is None else f"{status // 100}xx"
     f += [f"status {group}", f"status {group} {where}"]
+    running = {id(x) for x in chain(prose, plain)}
+    side = "x" if not content_like else "y"
     seeds = False
     for x in body:
         text = x.text.lower()
         if content_like < 2 or marks_body or filler:
-            hit = bool(ERROR_SEEDS.search(text) or SCRIPT_SEEDS.search(text))
-            seeds |= hit and not x.own
-        if x.own and len(x.words) > 7:
-            continue
-        if not content_like:
-            f += ["x" + n for n in boilerplate.word_names(x.tokens)]
-        elif model.novelty(x) >= 0.5:
-            f += ["y" + n for n in boilerplate.word_names(x.tokens)]
+            seeds |= bool(ERROR_SEEDS.search(text) or SCRIPT_SEEDS.search(text)) and not x.own
+        if id(x) not in running and not (x.own and len(x.words) > 7):
+            f += [side + n for n in ngrams(x.text, model.common)]
+    for h in {h for h in heads if h}:
+        f += [("o" if own_head and content_like else "t") + n for n in ngrams(h, model.common)]
     if not content_like:
-        tokens = ["<n>" if w[0].isdigit() else w if w in model.common or not w[0].isalpha() else "<name>" for w in head_words]
-        f += ["t" + n for n in boilerplate.word_names(tokens)]
         f.append(f"title known {min(known_head, 3)}")
     short = words < 80 and not content_like
     if marks_head or marks_body or filler:
@@ -133,7 +141,8 @@ class Model:
 def train(records: list[tuple]) -> tuple[Model, dict[str, float]]:
     """A model from sampled (content, title, url, status), and its agreement with the weak labels on hosts not trained on."""
     lines = boilerplate.train_model([(c, t, u) for c, t, u, _ in records])
-    seen = [(host_of(u), examine(c, t, u, s, lines)) for c, t, u, s in records if c and c.strip()]
+    records = [r for r in records if r[0] and r[0].strip()]
+    seen = [(host_of(r[2]), x) for r, x in zip(records, examine_all(records, lines))]
     known = [(h, r) for h, r in seen if r.label == r.label]
 
     def weights(rows: list[Record]) -> dict[str, float]:
@@ -173,12 +182,10 @@ def judge(records: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for pdf in batches:
-            scores = []
-            for content, title, url, status in zip(pdf["content"], pdf["title"], pdf["url"], pdf["http_status"]):
-                if not content or not content.strip():
-                    scores.append(-99.0)
-                else:
-                    scores.append(m.score(examine(content, title, url, None if status != status or status is None else int(status), m.lines)))
+            rows = [(c, t, u, None if s is None or s != s else int(s)) for c, t, u, s in zip(pdf["content"], pdf["title"], pdf["url"], pdf["http_status"])]
+            full = [i for i, r in enumerate(rows) if r[0] and r[0].strip()]
+            scores = np.full(len(rows), -99.0)
+            scores[full] = [m.score(x) for x in examine_all([rows[i] for i in full], m.lines)]
             yield pd.DataFrame({"result_id": pdf["result_id"], "score": scores})
 
     rows = records.where(F.col("result_id").isNotNull()).select("result_id", "content", "title", "url", "http_status")

@@ -292,28 +292,34 @@ def observe(texts: Iterable[str | None], parsed: Iterable[tuple[np.ndarray, np.n
     def add(kind: int, keys: np.ndarray) -> None:
         parts.setdefault(kind, []).append(np.asarray(keys, _U64))
 
+    texts, parsed = list(texts), list(parsed)
+    if not texts:
+        return
+    paras = np.concatenate([p for p, _ in parsed])
+    found = np.concatenate([f for _, f in parsed])
+    found["para"] += np.repeat(np.cumsum([0, *(len(p) for p, _ in parsed[:-1])]), [len(f) for _, f in parsed]).astype(np.int32)
+    open_ = paras[paras["whole"] == 0]
+    add(ENDS, open_["left"][open_["mark"] == STOP])
+    add(STARTS, open_["right"][(open_["case"] < 2) & (open_["mark"] < GAP)])
+    add(MARK_ENDS, open_["mark"][open_["mark"] < GAP])
+    add(MARK_NONE, found["mark"][(found["case"] == 1) & (found["closed"] == 0)])
+    stop = found["mark"] == STOP
+    none = stop & ((found["case"] == 1) | (found["case"] == 2)) & (found["closed"] == 0)
+    add(NONE, found["left"][none])
+    add(OPEN_PLACE, found["left"][stop & ~none & (found["sure"] < 0)])
+    alone = np.ones(len(paras), bool)
+    alone[found["para"]] = False
+    alone &= (paras["whole"] == 0) & (paras["mark"] < GAP)
+    add(LENGTHS, np.minimum((paras["end"] - paras["start"])[alone] // STEP, FAR - 1))
     middles, words, owner = [], [], []
-    for text, (paras, found) in zip(texts, parsed):
-        open_ = paras[paras["whole"] == 0]
-        add(ENDS, open_["left"][open_["mark"] == STOP])
-        add(STARTS, open_["right"][(open_["case"] < 2) & (open_["mark"] < GAP)])
-        add(MARK_ENDS, open_["mark"][open_["mark"] < GAP])
-        low = (found["case"] == 1) & (found["closed"] == 0)
-        add(MARK_NONE, found["mark"][low])
-        stop = found["mark"] == STOP
-        none = stop & ((found["case"] == 1) | (found["case"] == 2)) & (found["closed"] == 0)
-        add(NONE, found["left"][none])
-        add(OPEN_PLACE, found["left"][stop & ~none & (found["sure"] < 0)])
-        alone = np.ones(len(paras), bool)
-        alone[found["para"]] = False
-        alone &= (paras["whole"] == 0) & (paras["mark"] < GAP)
-        add(LENGTHS, np.minimum((paras["end"] - paras["start"])[alone] // STEP, FAR - 1))
-        for start, end in open_[["start", "end"]].tolist():
-            p = text[start:end]
-            middles += _MID.findall(p)
-            tokens = _TOKEN.findall(p.lower())
-            words += tokens
-            owner.append(len(tokens))
+    for text, (own, _) in zip(texts, parsed):
+        for start, end, whole in own[["start", "end", "whole"]].tolist():
+            if not whole:
+                p = text[start:end]
+                middles += _MID.findall(p)
+                tokens = _TOKEN.findall(p.lower())
+                words += tokens
+                owner.append(len(tokens))
     number, names = pd.factorize(np.array(middles, object))
     add(WITHIN, np.array([word_key(w) for w in names], _U64)[number])
     number, names = pd.factorize(np.array(words, object))

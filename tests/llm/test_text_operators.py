@@ -222,6 +222,34 @@ def test_residue_on_unseen_hosts(spark):
     assert right / len(test) > 0.9
 
 
+PLANTED = {  # title, body lines, whether it is residue; judged by hand
+    "field in body": ("A quiet harbor", ["Price: {{price|currency}} / [UNIT]"], True),
+    "field in title": ("{{ title }}", ["The harbor was quiet all morning and the boats of the town lay still."], True),
+    "asks for scripts": (None, ["Please turn on JavaScript to see the page."], True),
+    "error": ("Oops", ["The page you asked for does not exist."], True),
+    "article on fields": ("Writing {{ name }} tags", ["The engine replaces `{{ name }}` by the value of the name before the page is sent, and that took years.", "Writers of the engine asked why the name follows so many tags in the end."], False),
+    "short page": ("A short note on Velmora", ["The boats of Velmora lay still in the quiet harbor until noon."], False),
+}
+
+
+@pytest.mark.parametrize("case", PLANTED)
+def test_residue_planted(residue_model, case):
+    title, body, want = PLANTED[case]
+    text = "\n".join(([title] if title else []) + body)
+    got = residue_model.score(residue.examine(text, title, "https://unseen.example/a", 200, residue_model.lines)) > 0
+    assert got == want
+
+
+def test_labelling_marks_are_no_features(residue_model):
+    r = residue.examine("A note\nDear {{ name }}, welcome to {{ place }}.", "A note", "https://unseen.example/a", 200, residue_model.lines)
+    assert r.label == 1.0 and not any("marks" in f or f == "filler" for f in r.features)
+
+
+@pytest.fixture(scope="module")
+def residue_model():
+    return residue.train([r[:4] for r in made_results()])[0]
+
+
 def test_content_is_judged_under_an_error(spark):
     made = made_results(100)
     model, _ = residue.train([r[:4] for r in made])
