@@ -85,6 +85,12 @@ def _plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None) -> tup
     return plan, total_tokens
 
 
+def listed(docs: DataFrame, targets: DataFrame) -> DataFrame:
+    """The documents of sources with a positive target share, filtered where they lie; targets hold a row per source, read on the driver as ``_plan`` does."""
+    wanted = targets.where(F.col("source").isNotNull() & (F.col("target_share") > 0) & ~F.isnan("target_share")).select("source").distinct()
+    return docs.where(F.col("source").isin([r["source"] for r in wanted.collect()]))
+
+
 def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, slots: int = SLOTS, seed: int = 7) -> DataFrame:
     """The drawn documents: doc_id, source, copy (from 0), n_tokens, slot, place.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinery.llm import boilerplate, encode, lines, mix, neardup, neighbors, residue, sentences, split
-from skeinery.session import prepare, table
+from skeinery.session import prepare, stage, table
 
 
 def _line_model(pages: DataFrame, results: DataFrame) -> boilerplate.Model:
@@ -54,21 +54,19 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Two partitions by crawl time, merged one after the other into counts kept as tables; the second redoes affected pages only."""
     pages = table(prepare(spark), d, "page_records")
-    _, crossed = lines.first_load(pages)
-    return lines.occurrences(pages, crossed)
+    late = F.coalesce(F.col("crawled_at") >= "2025-06-01", F.lit(True)).alias("late")
+    hashed = stage(lines.page_lines(pages, late))
+    parts = [hashed.where(~F.col("late")).drop("late"), hashed.where("late").drop("late")]
+    return lines.repeated(parts, lines.LineCounts(spark))
 
 
 def p4_incremental(spark: SparkSession, d: str) -> DataFrame:
-    """The same lines from two partitions taken in one after the other, split by crawl time; only affected pages are done again."""
+    """The same lines from four partitions that mix all times, so that each merge makes earlier pages affected."""
     pages = table(prepare(spark), d, "page_records")
-    early = F.coalesce(F.col("crawled_at") < "2025-06-01", F.lit(False))
-    state = lines.LineCounts()
-    first, second = pages.where(early), pages.where(~early)
-    before = lines.update(state, first.limit(0), first)[1]
-    affected, again = lines.update(state, first, second)
-    kept = before.join(affected.select(F.col("page_id").alias("done")), F.col("page_id").eqNullSafe(F.col("done")), "left_anti")
-    return kept.unionByName(again)
+    hashed = stage(lines.page_lines(pages, F.pmod(F.xxhash64("page_id"), F.lit(4)).alias("part")))
+    return lines.repeated([hashed.where(F.col("part") == i).drop("part") for i in range(4)], lines.LineCounts(spark))
 
 
 def p4_cleaned(spark: SparkSession, d: str) -> DataFrame:
@@ -109,8 +107,9 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    sized = encode.count_tokens(table(prepare(spark), d, "documents").select("doc_id", "source", "text"))
-    return mix.mix(sized, table(spark, d, "mix_targets"))
+    targets = table(prepare(spark), d, "mix_targets")
+    docs = mix.listed(table(spark, d, "documents").select("doc_id", "source", "text"), targets)  # only these are tokenized
+    return mix.mix(encode.count_tokens(docs), targets)
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
@@ -195,8 +194,8 @@ SQL = {
     "p4_found": _LINES + "SELECT page_id, CAST(line_no AS INTEGER) AS line_no FROM hit",
     "p4_incremental": _LINES + "SELECT page_id, CAST(line_no AS INTEGER) AS line_no FROM hit",
     "p4_cleaned": _LINES
-    + """SELECT l.page_id, coalesce(string_agg(l.line, chr(10) ORDER BY l.line_no) FILTER (WHERE h.page_id IS NULL), '') AS content,
-         CAST(count(h.page_id) AS INTEGER) AS n_removed
-         FROM (SELECT DISTINCT page_id, line_no, line FROM l) l LEFT JOIN hit h ON h.page_id = l.page_id AND h.line_no = l.line_no
-         GROUP BY l.page_id HAVING count(h.page_id) > 0""",
+    + """, n AS (
+  SELECT l.page_id, coalesce(string_agg(l.line, chr(10) ORDER BY l.line_no) FILTER (WHERE h.page_id IS NULL), '') AS content, CAST(count(h.page_id) AS INTEGER) AS n_removed
+  FROM (SELECT DISTINCT page_id, line_no, line FROM l) l LEFT JOIN hit h ON h.page_id = l.page_id AND h.line_no = l.line_no GROUP BY l.page_id
+) SELECT page_id, n.content, coalesce(n_removed, 0) AS n_removed FROM (SELECT DISTINCT page_id FROM page_records) LEFT JOIN n USING (page_id)""",
 }

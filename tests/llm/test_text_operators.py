@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from skeinery.llm import boilerplate, encode, lines, maxflow, residue, sentences, split
 
@@ -153,26 +154,32 @@ def brute_lines(rows, least):
     return {(p, n) for v in found.values() if len(v) >= least for p, ns in v.items() for n in ns}
 
 
+def found_lines(spark, df, least=5, parts=1):
+    cut = [df.where(F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(parts)) == i) for i in range(parts)]
+    return {tuple(r) for r in lines.repeated([lines.page_lines(p) for p in cut], lines.LineCounts(spark, min_pages=least)).collect()}
+
+
 def test_lines_against_brute_force(spark):
     df = line_pages(spark)
-    for least in (2, 5, 9):
-        _, crossed = lines.first_load(df, least)
-        assert {tuple(r) for r in lines.occurrences(df, crossed).collect()} == brute_lines(df.collect(), least)
-    assert lines.first_load(df.limit(0))[1].count() == 0
+    for least, parts in ((2, 1), (5, 1), (5, 3), (9, 2)):
+        assert found_lines(spark, df, least, parts) == brute_lines(df.collect(), least)
+    assert found_lines(spark, df.limit(0)) == set()
 
 
-def test_lines_incremental_equals_whole(spark):
+def test_lines_incremental_equals_whole(spark, tmp_path):
     df = line_pages(spark)
-    state = lines.LineCounts(min_pages=5)
     parts = [df.where("page_id < 3"), df.where("page_id between 2 and 6"), df.where("page_id > 6"), df.where("page_id < 3")]
-    crossings = [state.merge(p).count() for p in parts]
+    root = f"file://{tmp_path}/counts"
+    # the folder is opened anew for every merge: the state is in its tables
+    crossings = [lines.LineCounts(spark, root, 5).merge(lines.page_lines(p)).count() for p in parts]
     assert crossings == [0, 1, 0, 0]
-    whole, _ = lines.first_load(df, 5)
-    key = lambda s: sorted(tuple(r) for r in s.counts.collect())
+    state, whole = lines.LineCounts(spark, root, 5), lines.LineCounts(spark, min_pages=5)
+    whole.merge(lines.page_lines(df))
+    key = lambda s: sorted(tuple(r) for r in s.counts().groupBy("src", "k1", "k2").agg(F.sum("n_pages")).collect())
     assert key(state) == key(whole)
-    hits = lines.occurrences(df, state.excessive())
+    hits = lines.occurrences(lines.page_lines(df), state.excessive())
     kept = {r.page_id: (r.content, r.n_removed) for r in lines.without_lines(df, hits).collect()}
-    assert kept[3] == ("Unique words d\n\n***", 2) and 20 not in kept and 9 not in kept
+    assert kept[3] == ("Unique words d\n\n***", 2) and kept[20] == (None, 0) and kept[21] == ("", 0) and kept[9][1] == 0 and len(kept) == df.select("page_id").distinct().count()
 
 
 def test_update_rebuilds_affected_pages_only(spark):
@@ -182,17 +189,18 @@ def test_update_rebuilds_affected_pages_only(spark):
         [("g", 7, at(7, "late line")), ("g", 8, at(8, "late line")), ("g", 9, at(9, "early line")), ("g", 0, at(0, "early line", "late line")), ("g", 10, at(10)), (None, 11, None)],
         [("g", 12, at(12, "early line", "late line", "new"))],
     ]
-    state, rebuilt, earlier, seen = lines.LineCounts(min_pages=5), {}, [], []
+    state, found, earlier, seen, rows = lines.LineCounts(spark, min_pages=5), set(), None, [], []
     for part in parts:
-        frame = lambda rows: spark.createDataFrame(rows, "grp string, page_id long, content string")
-        affected, hits = lines.update(state, frame(earlier), frame(part))
-        earlier = earlier + part
-        seen.append({r.page_id for r in affected.collect()})
-        rebuilt |= {r.page_id: (r.content, r.n_removed) for r in lines.without_lines(frame(earlier), hits).collect()}
-    whole = lines.without_lines(frame(earlier), lines.occurrences(frame(earlier), lines.first_load(frame(earlier), 5)[1]))
-    assert rebuilt == {r.page_id: (r.content, r.n_removed) for r in whole.collect()}
-    assert rebuilt[0] == (at(0), 2) and rebuilt[9] == (at(9), 1)
-    assert seen == [set(range(7)), {0, 1, 2, 7, 8, 9, 10, 11}, {12}]
+        new = lines.page_lines(spark.createDataFrame(part, "grp string, page_id long, content string"))
+        affected, hits = lines.update(state, earlier, new)
+        done = {r.page_id for r in affected.collect()}
+        found = {h for h in found if h[0] not in done} | {tuple(r) for r in hits.collect()}
+        earlier = new if earlier is None else earlier.unionByName(new)
+        seen.append(done)
+        rows += part
+    whole = spark.createDataFrame(rows, "grp string, page_id long, content string")
+    assert found == brute_lines(whole.collect(), 5)
+    assert seen == [set(range(7)), {0, 1, 2, 7, 8, 9, 10}, {12}]  # 11 has no line
 
 
 # --- residue ------------------------------------------------------------------------------------------------------
