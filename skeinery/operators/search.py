@@ -62,27 +62,34 @@ def bm25_search(
     return found.select("url", "title", text.snippet(F.col("content"), text.query_terms(query)).alias("snippet"), "score")
 
 
-def build_index(pages: DataFrame, keys: Sequence[str] = ("grp", "url"), stemmed: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(postings, document lengths, statistics) of a page table, to be written once and searched often.
+def build_index(pages: DataFrame, keys: Sequence[str] = ("grp", "url"), stemmed: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(postings, document lengths) of a page table, to be written once and searched often.
 
-    postings: keys, term, tf; document lengths: keys, dl; statistics: n, avgdl in one row.
+    postings: keys, term, tf, dl; document lengths: keys, dl. A page's terms are counted where it lies, so nothing is shuffled.
     """
     toks = (analyze.stemmed_tokens if stemmed else analyze.tokens)(F.col("content"))
-    counted = pages.select(*keys, toks.alias("toks"))
-    postings = counted.select(*keys, F.explode("toks").alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
-    lengths = counted.select(*keys, F.coalesce(F.size("toks"), F.lit(0)).alias("dl"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    return postings, lengths, stats
+    counted = pages.select(*keys, toks.alias("toks")).select(*keys, "toks", F.coalesce(F.size("toks"), F.lit(0)).alias("dl"))
+    sorted_toks = counted.withColumn("toks", F.array_sort("toks"))
+    distinct = sorted_toks.select(*keys, "dl", "toks", F.explode(F.array_distinct("toks")).alias("term"))
+    first = F.array_position("toks", F.col("term"))
+    tf = F.when(first > 0, F.array_position(F.reverse("toks"), F.col("term")))
+    postings = distinct.select(*keys, "term", (F.size("toks") - first - tf + 2).cast("bigint").alias("tf"), "dl")
+    return postings, counted.select(*keys, "dl")
 
 
-def search_index(index: tuple[DataFrame, DataFrame, DataFrame], query: str, limit: int = 10, keys: Sequence[str] = ("grp", "url"), stemmed: bool = True, operator: str = "and") -> DataFrame:
-    """keys and score of the best documents of a written index; only the query's postings are read."""
-    postings, lengths, stats = index
+def search_index(
+    index: tuple[DataFrame, DataFrame], query: str, limit: int = 10, keys: Sequence[str] = ("grp", "url"), stemmed: bool = True, operator: str = "and", group: str | None = None
+) -> DataFrame:
+    """keys and score of the best documents of a written index; only the query's postings are read.
+
+    As in ``bm25_scores`` the group restricts the result, not the statistics.
+    """
+    postings, lengths = index
     terms = _terms(query, stemmed)
     hit = postings.where(F.col("term").isin(terms))
-    df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rows = hit.join(F.broadcast(df), "term").join(lengths, list(keys))
-    whole = stats.first()
+    df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row per term of the query
+    whole = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    rows = (hit if group is None else hit.where(F.col("grp") == group)).join(F.broadcast(df), "term")
     idf = F.log(1 + (F.lit(whole["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(whole["avgdl"] or 1.0)))
     scored = rows.groupBy(*keys).agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("terms"))

@@ -1,7 +1,8 @@
-"""The store: tables of pages, links and chunks as parquet, partitioned by group.
+"""The store: tables of pages, links, chunks and postings as parquet, in numbered batches partitioned by group.
 
-Changes rewrite only the partitions they touch, next to the old files, and swap them in; a lost task or
-executor is repeated by Spark without leaving half a change.
+A change appends a batch and rewrites nothing: rows of a later batch stand for those of their page in earlier ones, which a read
+resolves. A batch counts once its folder is complete, so a change is seen whole or not at all; ``compact`` merges
+the batches of a table.
 """
 
 from __future__ import annotations
@@ -11,17 +12,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinery.session import cut
-
 SCHEMAS = {
     "page": "grp string, url string, title string, content string, depth int, format string, crawled_at timestamp, meta string",
     "discovered": "grp string, src_url string, dst_url string, anchor_text string, discovered_at timestamp",
     "chunk": "grp string, page_url string, chunk_index int, chunk_text string, heading_path array<string>, embedding array<float>, model string, dimensions int, created_at timestamp",
+    "posting": "grp string, url string, term string, tf bigint, dl int",
     "db_metadata": "key string, value string, updated_at timestamp",
 }
 
-#: Schema version with the columns each step adds; later versions only add.
-MIGRATIONS = (("001", {"page": SCHEMAS["page"].rsplit(", meta", 1)[0], "discovered": SCHEMAS["discovered"]}), ("002", {"chunk": SCHEMAS["chunk"], "db_metadata": SCHEMAS["db_metadata"]}), ("003", {"page": SCHEMAS["page"]}))
+#: What a later batch replaces as a whole: a page, or the chunks or postings of a page.
+KEYS = {"page": ["grp", "url"], "chunk": ["grp", "page_url"], "posting": ["grp", "url"]}
+
+#: Schema versions with their tables. Later versions only add columns, which read as null from older files, and tables; no file is rewritten.
+MIGRATIONS = (("001", {"page": SCHEMAS["page"].rsplit(", meta", 1)[0], "discovered": SCHEMAS["discovered"]}), ("002", {"chunk": SCHEMAS["chunk"], "db_metadata": SCHEMAS["db_metadata"]}), ("003", {"page": SCHEMAS["page"]}), ("004", {"posting": SCHEMAS["posting"]}))
 
 
 def latest(rows: DataFrame, keys: Sequence[str] = ("url", "grp"), order: Sequence[str] = ("crawled_at",)) -> DataFrame:
@@ -57,69 +60,106 @@ class Store:
         jvm = self.spark.sparkContext._jvm
         return jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _jpath(self, path: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+    def batches(self, name: str) -> list[int]:
+        """Numbers of a table's complete batches."""
+        found = self._fs().globStatus(self._jpath(self.path(name) + "/batch=*/_SUCCESS")) or []
+        return sorted(int(s.getPath().getParent().getName().split("=")[1]) for s in found)
+
     def exists(self, name: str) -> bool:
-        return self._fs().exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name)))
+        return bool(self.batches(name))
 
-    def read(self, name: str, grp: str | None = None) -> DataFrame:
-        """A table, or one group of it by partition pruning; empty if it was never written."""
-        if not self.exists(name):
-            df = self.spark.createDataFrame([], SCHEMAS[name])
-        else:
-            df = self.spark.read.schema(SCHEMAS[name]).parquet(self.path(name))
+    def _append(self, name: str, df: DataFrame) -> None:
+        cols = [c.split(" ")[0] for c in SCHEMAS[name].split(", ")]
+        n = max(self.batches(name), default=0) + 1
+        w = df.select(*cols).write.mode("overwrite")  # a batch left incomplete by a failure is written anew
+        (w.partitionBy("grp") if "grp" in cols else w).parquet(f"{self.path(name)}/batch={n}")
+
+    def raw(self, name: str, grp: str | None = None) -> DataFrame:
+        """All rows of all batches with their ``batch``."""
+        dirs = [f"{self.path(name)}/batch={n}" for n in self.batches(name)]
+        schema = SCHEMAS[name] + ", batch int"
+        df = self.spark.read.schema(schema).option("basePath", self.path(name)).parquet(*dirs) if dirs else self.spark.createDataFrame([], schema)
         return df if grp is None else df.where(F.col("grp") == grp)
 
-    def _write(self, name: str, df: DataFrame, partitioned: bool = True) -> None:
-        cols = [c.split(" ")[0] for c in SCHEMAS[name].split(", ")]
-        w = df.select(*cols).write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if partitioned else "static")
-        (w.partitionBy("grp") if partitioned else w).parquet(self.path(name))
+    def read(self, name: str, grp: str | None = None) -> DataFrame:
+        """A table as it stands, or one group of it by partition pruning; empty if it was never written."""
+        df = self.raw(name, grp)
+        if name == "db_metadata":
+            df = latest(df, ["key"], ["batch"])
+        elif len(self.batches(name)) > 1:
+            if name == "page":
+                df = latest(df, KEYS[name], ["batch", "crawled_at"])
+            elif name in KEYS:
+                newest = df.groupBy(*KEYS[name]).agg(F.max("batch").alias("batch"))
+                df = df.join(newest, [*KEYS[name], "batch"], "left_semi")
+        if name == "chunk":
+            df = df.where(F.col("chunk_index").isNotNull())
+        return df.drop("batch")
 
     def touched(self, name: str, new: DataFrame) -> DataFrame:
         """Rows of the table in the groups a batch touches."""
         return self.read(name).join(new.select("grp").distinct(), "grp", "left_semi")
 
     def upsert_pages(self, new: DataFrame) -> None:
-        """Insert or update by (url, grp); rewrites the touched groups."""
-        self._write("page", cut(upsert(self.touched("page", new), new)))
+        """Insert or update by (url, grp): of several rows in a batch the last one, of several batches the last batch."""
+        self._append("page", latest(new))
 
     def update_meta(self, changes: DataFrame) -> None:
         """Set meta by (url, grp) of existing pages; ``changes``: grp, url, meta."""
-        one = latest(changes.select("grp", "url", "meta"), order=("meta",)).withColumnRenamed("meta", "__meta").withColumn("__new", F.lit(True))
-        old = self.touched("page", changes)
-        done = old.join(one, ["grp", "url"], "left").withColumn("meta", F.when(F.col("__new"), F.col("__meta")).otherwise(F.col("meta"))).drop("__meta", "__new")
-        self._write("page", cut(done))
+        one = latest(changes.select("grp", "url", "meta"), order=("meta",))
+        self._append("page", self.touched("page", changes).drop("meta").join(one, ["grp", "url"]))
 
     def insert_links(self, links: DataFrame) -> None:
-        cols = [c.split(" ")[0] for c in SCHEMAS["discovered"].split(", ")]
-        links.select(*cols).write.mode("append").partitionBy("grp").parquet(self.path("discovered"))
+        self._append("discovered", links)
 
     def replace_chunks(self, chunks: DataFrame) -> None:
         """Replace all chunks of the pages in a batch."""
-        old = self.touched("chunk", chunks).join(chunks.select("grp", "page_url").distinct(), ["grp", "page_url"], "left_anti")
-        self._write("chunk", cut(old.unionByName(chunks, allowMissingColumns=True)))
+        self._append("chunk", chunks)
 
     def delete_chunks(self, pages: DataFrame) -> None:
-        """Delete the chunks of some pages (grp, url)."""
+        """Delete the chunks of some pages (grp, url): a row without index stands for none."""
         gone = pages.select("grp", F.col("url").alias("page_url")).distinct()
-        left = self.touched("chunk", pages).join(gone, ["grp", "page_url"], "left_anti")
-        emptied = [r.grp for r in pages.select("grp").distinct().join(left.select("grp").distinct(), "grp", "left_anti").toLocalIterator()]
-        kept = cut(left)
-        for g in emptied:
-            self._drop("chunk", g)
-        self._write("chunk", kept)
+        fields = [c.split(" ", 1) for c in SCHEMAS["chunk"].split(", ")]
+        self._append("chunk", gone.select(*[F.col(n) if n in ("grp", "page_url") else F.lit(None).cast(kind).alias(n) for n, kind in fields]))
+
+    def index_pages(self, pages: DataFrame, stemmed: bool = True) -> None:
+        """Replace the postings of some pages (grp, url, content); each posting holds its page's length, so a search reads the query's postings only."""
+        from skeinery.operators.search import build_index
+
+        postings, lengths = build_index(pages, stemmed=stemmed)
+        rows = postings.unionByName(lengths.select("grp", "url", F.lit(None).cast("string").alias("term"), F.lit(0).cast("bigint").alias("tf"), "dl"))
+        self._append("posting", rows.sortWithinPartitions("grp", "term"))  # row groups hold ranges of terms
+
+    def search(self, query: str, limit: int = 10, group: str | None = None, stemmed: bool = True, operator: str = "and") -> DataFrame:
+        """grp, url, score of the best pages by the stored postings."""
+        from skeinery.operators.search import search_index
+
+        rows = self.read("posting")
+        return search_index((rows.where(F.col("term").isNotNull()), rows.where(F.col("term").isNull())), query, limit, stemmed=stemmed, operator=operator, group=group)
+
+    def compact(self, name: str) -> None:
+        """Merge the batches of a table. Readers of the old ones must have finished; a failure in between leaves rows that a read resolves as before."""
+        old = self.batches(name)
+        if len(old) > 1 and (name in KEYS or name == "db_metadata"):
+            self._append(name, self.read(name))
+            for n in old:
+                self._fs().delete(self._jpath(f"{self.path(name)}/batch={n}"), True)
 
     def _drop(self, name: str, grp: str) -> None:
         jvm = self.spark.sparkContext._jvm
         fs = self._fs()
-        for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(self.path(name) + "/grp=*")) or []:
+        for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(self.path(name) + "/batch=*/grp=*")) or []:
             p = status.getPath()
             if p.getName() == "grp=" + jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(grp):
                 fs.delete(p, True)
 
     def reset_group(self, grp: str) -> None:
         """Drop a group's partitions of all tables."""
-        for name in ("page", "discovered", "chunk"):
-            if self.exists(name):
-                self._drop(name, grp)
+        for name in ("page", "discovered", "chunk", "posting"):
+            self._drop(name, grp)
 
     def reset_all(self) -> None:
         for name in SCHEMAS:
@@ -127,7 +167,7 @@ class Store:
 
     def set_metadata(self, key: str, value: str) -> None:
         row = self.spark.createDataFrame([(key, value)], "key string, value string").withColumn("updated_at", F.current_timestamp())
-        self._write("db_metadata", cut(upsert(self.read("db_metadata"), row, ("key",), ("updated_at",)).coalesce(1)), False)
+        self._append("db_metadata", row.coalesce(1))
 
     def get_metadata(self, key: str) -> str | None:
         row = self.read("db_metadata").where(F.col("key") == key).first()

@@ -95,25 +95,33 @@ def test_chunk_pages(spark):
 
 def pages(spark):
     data = [
-        ("blog", "https://a/1", "Hello", "Hello world this is a test page about StreamDB"),
-        ("blog", "https://a/2", "Two", "StreamDB again and StreamDB once more"),
-        ("docs", "https://b/1", "Docs", "Documentation of StreamDB pages"),
-        ("docs", "https://b/2", None, "hello nobody"),
+        ("birds", "https://n/1", "Heron", "A grey heron fishes beside the weir"),
+        ("birds", "https://n/2", "Weirs", "Every weir attracts herons; this weir is old"),
+        ("maps", "https://m/1", "River", "Charts of the weir and of both locks"),
+        ("maps", "https://m/2", None, "grey nothing"),
     ]
     return spark.createDataFrame(data, "grp string, url string, title string, content string")
 
 
-def test_bm25(spark):
+def test_bm25(spark, tmp_path):
     p = pages(spark)
-    assert [r.url for r in search.bm25_search(p, "hello", group="blog").collect()] == ["https://a/1"]
-    assert len(search.bm25_search(p, "StreamDB", group="blog").collect()) == 2
-    assert len(search.bm25_search(p, "stream page").collect()) == 2  # stems
-    assert len(search.bm25_search(p, "hello stream", operator="or", stemmed=False).collect()) == 3
+    assert [r.url for r in search.bm25_search(p, "grey", group="birds").collect()] == ["https://n/1"]
+    assert len(search.bm25_search(p, "weir", group="birds").collect()) == 2
+    assert len(search.bm25_search(p, "weirs heron").collect()) == 2  # stems
+    assert len(search.bm25_search(p, "grey weir", operator="or", stemmed=False).collect()) == 3
     assert search.bm25_search(p, "?!").count() == 0
-    assert search.bm25_search(p.limit(0), "hello").count() == 0
-    direct = {r.url: r.score for r in search.bm25_scores(p, "stream db", stemmed=False).collect()}
-    index = search.search_index(search.build_index(p, stemmed=False), "stream db", stemmed=False)
-    assert {r.url: pytest.approx(r.score) for r in index.collect()} == direct
+    assert search.bm25_search(p.limit(0), "grey").count() == 0
+    direct = {r.url: pytest.approx(r.score) for r in search.bm25_scores(p, "the weir", stemmed=False).collect()}
+    index = search.search_index(search.build_index(p, stemmed=False), "the weir", stemmed=False)
+    assert {r.url: r.score for r in index.collect()} == direct and len(direct) == 2
+    # the stored index, with a page indexed again
+    s = store.Store(spark, f"file://{tmp_path}/store")
+    s.index_pages(p.withColumn("content", F.when(F.col("url") == "https://n/2", "weir " * 9).otherwise(F.col("content"))), stemmed=False)
+    s.index_pages(p.where("url = 'https://n/2'"), stemmed=False)
+    assert {r.url: r.score for r in s.search("the weir", stemmed=False).collect()} == direct
+    s.compact("posting")
+    assert len(s.batches("posting")) == 1 and {r.url: r.score for r in s.search("the weir", stemmed=False).collect()} == direct
+    assert [r.url for r in s.search("the weir", group="maps", stemmed=False).collect()] == ["https://m/1"]
 
 
 def chunk_table(spark):
@@ -188,9 +196,11 @@ def test_store(spark, tmp_path):
     assert tuple(store.group_stats(s.read("page"), s.read("discovered"), s.read("chunk"), "blog").first()) == (2, 1, 2)
     s.delete_chunks(spark.createDataFrame([("blog", "u"), ("blog", "w")], "grp string, url string"))
     assert s.read("chunk").count() == 0
+    s.compact("page")
+    assert s.batches("page") == [4] and s.read("page", "blog").where("url = 'u'").first().meta == '{"a":1}'
     s.reset_group("blog")
     assert rows(store.group_list(s.read("page"))) == [("docs",)]
-    assert s.migrate() == ["001", "002", "003"] and s.migrate() == [] and s.get_metadata("schema_version") == "003"
+    assert s.migrate() == ["001", "002", "003", "004"] and s.migrate() == [] and s.get_metadata("schema_version") == "004"
     s.reset_all()
     assert s.read("page").count() == 0 and s.get_metadata("schema_version") is None
 
