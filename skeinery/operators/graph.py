@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from skeinery.functions import html as H
 from skeinery.functions import urls
-from skeinery.operators.validate import reject_reason
+from skeinery.operators.skew import prefix_sum
 from skeinery.session import cut
+from skeinery.sources.captures import results
 
 #: URLs a crawl discovers at most.
 MAX_DISCOVERED = 5000
@@ -64,27 +65,41 @@ def seed_urls(sitemap: DataFrame, seeds: DataFrame) -> DataFrame:
     return first.select("url", "o.src", "o.ord")
 
 
+#: Columns of a crawl's result.
+CRAWL_SCHEMA = "ord bigint, url string, depth int, error string, title string, links_found bigint, content string, format string, http_status int, meta string, start_s double"
+
+
 def crawl(
     captures: DataFrame,
-    seeds: list[str],
+    seeds: list[str] | DataFrame,
     max_depth: int = 2,
     max_pages: int = 100,
     same_origin: bool = True,
     rules: DataFrame | None = None,
-    max_discovered: int = MAX_DISCOVERED,
+    max_discovered: int | None = MAX_DISCOVERED,
+    fmt: str = "markdown",
+    sitemap: DataFrame | None = None,
+    redirects: DataFrame | None = None,
+    requests_per_second: float = 2.0,
+    with_links: bool = False,
 ) -> DataFrame:
-    """Breadth-first crawl over captured pages: ord, url, depth, error, title, links_found.
-
-    ``captures``: url, html, title, http_status. One round per depth joins the frontier with the captures; a
-    rejected or missing page is an error row and is not expanded. ``max_pages`` counts fetched pages with errors (0: no limit). The
-    frontier never exceeds ``max_discovered`` URLs, so it is broadcast and the captures are not moved; each round is cut in the
-    shared folder.
+    """Breadth-first crawl over captured pages; one row per fetched page, as ``CRAWL_SCHEMA`` names them, in ``ord`` order.
+
+    ``captures``: url, html, title, http_status. ``seeds`` are URLs, or a table (url, ord) of any size; those of ``sitemap`` (url, ord) come before
+    them. URLs forbidden by ``rules`` (see ``robots_rules``) are not fetched; ``redirects`` (url, final_url) lead to the page that is read in a URL's place. One round per depth joins the
+    frontier with the captures and deduplicates the few hits; a rejected or missing page is an error row and is not expanded.
+    ``max_pages`` counts fetched pages with errors (0: no limit). With ``max_discovered`` the frontier is bounded and
+    broadcast, so the captures are not moved; without (None) it is joined by shuffle. ``start_s`` tells when
+    a request to its host may start at ``requests_per_second``. Each round is cut in the shared folder. ``with_links`` adds each page's references (``hrefs``) and the address they are relative to (``final``).
     """
     spark = captures.sparkSession
-    start = spark.createDataFrame([(i, u) for i, u in enumerate(seeds)], "ord bigint, url string")
-    frontier = start.select(urls.normalize_url(F.col("url")).alias("url"), "ord").groupBy("url").agg(F.min("ord").alias("ord"))
-    home = urls.origin(F.lit(seeds[0])) if seeds else F.lit(None)
-    pages = captures.withColumn("url", urls.normalize_url(F.col("url"))).dropDuplicates(["url"])
+    start = spark.createDataFrame([(i, u) for i, u in enumerate(seeds)], "ord bigint, url string") if isinstance(seeds, list) else seeds.select(F.col("ord").cast("bigint").alias("ord"), "url")
+    first = seed_urls(sitemap if sitemap is not None else start.limit(0), start)
+    frontier = cut(prefix_sum(first, [], F.col("src") * 1_000_000 + F.floor(F.col("ord") / 4096), ["src", "ord", "url"], F.lit(1).cast("bigint"), "n").select("url", F.col("n").alias("ord")))
+    small = (lambda df: df) if max_discovered is None else F.broadcast
+    pages = captures.withColumn("url", urls.normalize_url(F.col("url"))).where(F.col("url").isNotNull())
+    if redirects is not None:
+        to = redirects.select(urls.normalize_url(F.col("url")).alias("url"), urls.normalize_url(F.col("final_url")).alias("final")).groupBy("url").agg(F.min("final").alias("final"))
     visited = frontier.select("url")
     done, fetched = None, 0
     for depth in range(max_depth + 1):
@@ -93,35 +108,42 @@ def crawl(
             ready = robots_allowed(ready, rules).where("allowed").drop("allowed")
         if max_pages:
             ready = ready.orderBy("ord").limit(max(0, max_pages - fetched))
+        ready = ready.withColumn("final", F.col("url"))
+        if redirects is not None:
+            ready = ready.drop("final").join(to, "url", "left").withColumn("final", F.coalesce("final", "url"))
         ready = cut(ready)
         n = ready.count()
         if not n:
             break
-        found = F.broadcast(ready).join(pages, "url", "right").where(F.col("ord").isNotNull())
-        level = ready.join(found.drop("ord"), "url", "left")
-        reason = F.coalesce(F.when(F.col("html").isNull(), "page not captured"), reject_reason(F.col("html"), F.col("title"), F.col("http_status")))
-        level = cut(level.select("ord", "url", F.lit(depth).alias("depth"), reason.alias("error"), "title", "html"))
-        links = F.size(H.link_hrefs(F.col("html")))
-        rows = level.select("ord", "url", "depth", "error", "title", F.when(F.col("error").isNull(), links).otherwise(0).cast("bigint").alias("links_found"))
-        done = rows if done is None else done.unionByName(rows)
+        found = pages.withColumnRenamed("url", "final").join(small(ready), "final")
+        found = found.groupBy("url", "ord").agg(F.max_by(F.struct("html", "title", "http_status"), F.struct(F.col("html").isNotNull(), F.length("html"))).alias("c"))
+        level = ready.join(found, ["url", "ord"], "left").select("url", "final", "ord", "c.*")
+        rows = results(level.withColumn("depth", F.lit(depth)), fmt, collapse=False, keep=("ord", "final", "html"))
+        level = cut(rows.withColumn("hrefs", H.link_hrefs(F.col("html"))).drop("html"))
         fetched += n
+        keep = ["ord", "url", "depth", "error", "title", "links_found", "content", "format", "http_status", "meta"]
+        row = level.select(*keep, *([F.when(F.col("error").isNull(), F.col("hrefs")).alias("hrefs"), "final"] if with_links else []))
+        done = row if done is None else done.unionByName(row)
         if depth == max_depth:
             break
-        out = page_links(level.where(F.col("error").isNull()))
+        raw = level.where(F.col("error").isNull()).select(F.col("final").alias("url"), "ord", F.posexplode("hrefs").alias("position", "href"))
+        out = raw.select("url", "ord", "position", urls.resolve_link(F.col("href"), F.col("url")).alias("link")).where(F.col("link").isNotNull())
         if same_origin:
-            out = out.where(urls.origin(F.col("link")) == home)
-        order = level.select("url", "ord")
-        fresh = out.join(F.broadcast(order), "url").groupBy("link").agg(F.min(F.struct("ord", "position")).alias("o"))
-        fresh = fresh.join(F.broadcast(visited.withColumnRenamed("url", "link")), "link", "left_anti")
-        room = max(0, max_discovered - visited.count())
-        ranked = fresh.orderBy("o.ord", "o.position", "link").limit(room)
-        base = fetched + len(seeds)
-        numbered = ranked.select(F.col("link").alias("url"), (F.row_number().over(W.orderBy("o.ord", "o.position", "link")) + base * 1000).cast("bigint").alias("ord"))
-        frontier = cut(numbered)
+            out = out.where(urls.origin(F.col("link")) == urls.origin(F.col("url")))
+        fresh = out.groupBy("link").agg(F.min(F.struct("ord", "position")).alias("o")).join(small(visited.withColumnRenamed("url", "link")), "link", "left_anti")
+        if max_discovered is not None:
+            fresh = fresh.orderBy("o.ord", "o.position", "link").limit(max(0, max_discovered - visited.count()))
+        base = fetched + (visited.count() if max_pages else 0)
+        fresh = fresh.select(F.col("link").alias("url"), F.col("o.ord").alias("parent"), F.col("o.position").alias("position"))
+        numbered = prefix_sum(fresh, [], F.floor(F.col("parent") / 256), ["parent", "position", "url"], F.lit(1).cast("bigint"), "n")
+        frontier = cut(numbered.select("url", (F.col("n") + base).alias("ord")))
         visited = cut(visited.unionByName(frontier.select("url")))
     if done is None:
-        return spark.createDataFrame([], "ord bigint, url string, depth int, error string, title string, links_found bigint")
-    return done.select(F.row_number().over(W.orderBy("depth", "ord")).cast("bigint").alias("ord"), "url", "depth", "error", "title", "links_found")
+        return spark.createDataFrame([], CRAWL_SCHEMA)
+    placed = prefix_sum(done, [], F.col("depth") * 1_000_000 + F.floor(F.col("ord") / 4096), ["depth", "ord", "url"], F.lit(1).cast("bigint"), "place").withColumn("ord", F.col("place") + 1)
+    by_host = prefix_sum(placed.withColumn("host", urls.host(F.col("url"))), ["host"], F.floor(F.col("ord") / 4096), ["ord"], F.lit(1).cast("bigint"), "turn")
+    out = by_host.withColumn("start_s", F.col("turn") / F.lit(max(requests_per_second, 0.01)))
+    return out.select(*[c.split(" ")[0] for c in CRAWL_SCHEMA.split(", ")], *(["hrefs", "final"] if with_links else []))
 
 
 def bfs_levels(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:

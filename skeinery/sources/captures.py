@@ -16,11 +16,11 @@ def with_redirects(requests: DataFrame, redirects: DataFrame) -> DataFrame:
     return requests.join(known, "url", "left").withColumn("final_url", F.coalesce("__final", "url")).drop("__final")
 
 
-def results(captures: DataFrame, fmt: str = "markdown", validate: bool = True, collapse: bool = False) -> DataFrame:
+def results(captures: DataFrame, fmt: str = "markdown", validate: bool = True, collapse: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Crawl results of captures: url, depth, content, format, title, links_found, error, http_status, local_storage, meta.
 
     ``captures``: url, html and optionally title, http_status, depth, local_storage. A missing status counts as 200; rejected captures are
-    error rows with empty content and no links.
+    error rows with empty content and no links. ``keep`` names further columns to return.
     """
     have = set(captures.columns)
     status = F.coalesce(F.col("http_status"), F.lit(200)) if "http_status" in have else F.lit(200)
@@ -32,6 +32,7 @@ def results(captures: DataFrame, fmt: str = "markdown", validate: bool = True, c
         title.alias("title"),
         status.cast("int").alias("http_status"),
         (F.col("local_storage") if "local_storage" in have else F.lit(None).cast("map<string,string>")).alias("local_storage"),
+        *[c for c in keep if c != "html"],
     )
     missing = F.when(F.col("html").isNull(), "page not captured")
     reason = reject_reason(F.col("html"), F.col("title"), F.col("http_status")) if validate else F.when(F.col("http_status") >= 400, F.concat(F.lit("HTTP "), F.col("http_status").cast("string")))
@@ -48,6 +49,7 @@ def results(captures: DataFrame, fmt: str = "markdown", validate: bool = True, c
         "http_status",
         "local_storage",
         F.when(ok, H.structured_meta(F.col("html"))).alias("meta"),
+        *keep,
     )
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skeinery.operators import chunker, config, embed, graph, orphans, registry, search, skew, store, validate
+from skeinery.plans import pipeline
 from skeinery.sources import captures, files
 
 
@@ -165,13 +166,40 @@ def site(spark, **links):
 def test_crawl(spark):
     s = site(spark, a=["/b", "/b", "https://other.y/", "/gone"], b=["/c"], c=["/d"], d=[])
     got = graph.crawl(s, ["https://e.x/a"], max_depth=2).orderBy("ord").collect()
-    assert [(r.url[-1:], r.depth, r.error) for r in got] == [("a", 0, None), ("b", 1, None), ("e", 1, "page not captured"), ("c", 2, None)]
+    assert [(r.ord, r.url[-1:], r.depth, r.error) for r in got] == [(1, "a", 0, None), (2, "b", 1, None), (3, "e", 1, "page not captured"), (4, "c", 2, None)]
+    assert [r.start_s for r in got] == [0.0, 0.5, 1.0, 1.5] and "text text" in got[1].content
+    assert (got[0].http_status, got[0].links_found, got[2].content, got[0].format) == (200, 4, "", "markdown")
+    wide = graph.crawl(s, spark.createDataFrame([("https://e.x/a", 0), ("https://e.x/d", 1)], "url string, ord long"), max_depth=2, max_pages=0, max_discovered=None)
+    assert [(r.url[-1:], r.depth) for r in wide.orderBy("ord").collect()] == [("a", 0), ("d", 0), ("b", 1), ("e", 1), ("c", 2)]
     assert graph.crawl(s, ["https://e.x/a"], max_depth=2, same_origin=False).count() == 5
     assert graph.crawl(s, ["https://e.x/a"], max_pages=1).count() == 1
     assert graph.crawl(s, ["https://e.x/a"], max_depth=0).count() == 1
     assert graph.crawl(s, []).count() == 0
 
 
+def test_crawl_rules_sitemap_redirects(spark):
+    s = site(spark, a=["/b", "/old"], b=[], c=[], new=["/c"])
+    rules = graph.robots_rules(spark.createDataFrame([("https://e.x", 1, "User-agent: *"), ("https://e.x", 2, "Disallow: /b")], "origin string, line_no int, line string"))
+    sitemap = spark.createDataFrame([("https://e.x/c", 0)], "url string, ord long")
+    moved = spark.createDataFrame([("https://e.x/old", "https://e.x/new")], "url string, final_url string")
+    got = graph.crawl(s, ["https://e.x/a"], rules=rules, sitemap=sitemap, redirects=moved).orderBy("ord").collect()
+    assert [(r.url, r.title) for r in got] == [("https://e.x/c", "c"), ("https://e.x/a", "a"), ("https://e.x/old", "new")]
+
+
+def test_crawl_into_store(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/store")
+    captured = site(spark, a=["/b", "https://other.y/", "/gone"], b=["/a"])
+    got = pipeline.crawl_into_store(s, captured, ["https://e.x/a"], embed.HashProvider(8), "hash-8")
+    assert got.count() == 3
+    assert rows(s.read("page"), "grp", "url", "title") == [("e_x", "https://e.x/a", "a"), ("e_x", "https://e.x/b", "b")]
+    assert rows(s.read("discovered"), "src_url", "dst_url") == [("https://e.x/a", "https://e.x/b"), ("https://e.x/a", "https://e.x/gone"), ("https://e.x/a", "https://other.y/"), ("https://e.x/b", "https://e.x/a")]
+    chunks = s.read("chunk").collect()
+    assert {c.page_url for c in chunks} == {"https://e.x/a", "https://e.x/b"} and all(c.dimensions == 8 and len(c.embedding) == 8 for c in chunks)
+    assert s.search("text").count() == 2 and s.search("nothing").count() == 0
+    pipeline.crawl_into_store(s, captured, ["https://e.x/a"], embed.HashProvider(8), "hash-8")  # again: nothing doubles
+    assert s.read("page").count() == 2 and s.read("chunk").count() == len(chunks)
+
+
 def test_bfs_and_links(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (None, 5)], "src long, dst long")
     r = spark.createDataFrame([(1,)], "node long")
