@@ -289,8 +289,10 @@ def structured_meta(html: Column) -> Column:
     valid = F.filter(F.transform(blocks, lambda b: F.trim(b)), lambda b: F.try_parse_json(b).isNotNull())
     tags = F.filter(meta_tags(html), lambda t: F.coalesce(_attribute(t, "property").startswith("og:"), F.lit(False)))
     pairs = F.transform(tags, lambda t: F.struct(_attribute(t, "property").alias("k"), F.coalesce(_attribute(t, "content"), F.lit("")).alias("v")))
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    graph = F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: p["v"]), -1)))
+    # the pairs and then their keys are bound to lambda variables, so that each is computed once
+    of_key = lambda ps, k: F.element_at(F.transform(F.filter(ps, lambda p: p["k"] == k), lambda p: p["v"]), -1)
+    bound = F.transform(F.array(pairs), lambda ps: F.struct(ps.alias("ps"), F.array_distinct(F.transform(ps, lambda p: p["k"])).alias("keys")))
+    graph = F.transform(bound, lambda b: F.map_from_arrays(b["keys"], F.transform(b["keys"], lambda k: of_key(b["ps"], k)))).getItem(0)
     return F.concat(F.lit('{"json_ld":['), F.array_join(valid, ","), F.lit('],"open_graph":'), F.to_json(graph), F.lit("}"))
 
 

@@ -118,8 +118,9 @@ def crawl(
         found = pages.withColumnRenamed("url", "final").join(small(ready), "final")
         found = found.groupBy("url", "ord").agg(F.max_by(F.struct("html", "title", "http_status"), F.struct(F.col("html").isNotNull(), F.length("html"))).alias("c"))
         level = ready.join(found, ["url", "ord"], "left").select("url", "final", "ord", "c.*")
-        rows = results(level.withColumn("depth", F.lit(depth)), fmt, collapse=False, keep=("ord", "final", "html"))
-        level = cut(rows.withColumn("hrefs", H.link_hrefs(F.col("html"))).drop("html"))
+        # references first: one generated method for them and the results would grow too large to compile
+        level = cut(level.withColumn("depth", F.lit(depth)).withColumn("hrefs", H.link_hrefs(F.col("html"))))
+        level = cut(results(level, fmt, collapse=False, keep=("ord", "final", "hrefs")))
         fetched += n
         keep = ["ord", "url", "depth", "error", "title", "links_found", "content", "format", "http_status", "meta"]
         row = level.select(*keep, *([F.when(F.col("error").isNull(), F.col("hrefs")).alias("hrefs"), "final"] if with_links else []))

@@ -93,8 +93,11 @@ class Store:
             if name == "page":
                 df = latest(df, KEYS[name], ["batch", "crawled_at"])
             elif name in KEYS:
-                newest = df.groupBy(*KEYS[name]).agg(F.max("batch").alias("batch"))
-                df = df.join(newest, [*KEYS[name], "batch"], "left_semi")
+                newest = df.groupBy(*[F.col(k).alias(f"__{k}") for k in KEYS[name]]).agg(F.max("batch").alias("__batch"))
+                same = F.col("batch") == F.col("__batch")
+                for k in KEYS[name]:
+                    same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+                df = df.join(newest, same, "left_semi")
         if name == "chunk":
             df = df.where(F.col("chunk_index").isNotNull())
         return df.drop("batch")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,8 +12,9 @@ from skeinery.functions import analyze, text, urls
 from skeinery.functions import html as H
 from skeinery.functions.vector import cosine
 from skeinery.operators import chunker, embed, graph, search, store, validate
+from skeinery.plans import pipeline
+from skeinery.session import prepare, shared_dir, table
 from skeinery.sources import captures, files
-from skeinery.session import prepare, table
 
 #: Fixed query texts and parameters of the demonstrations.
 WORDS = "archive metric"
@@ -48,11 +51,14 @@ DOCS = "d AS (SELECT coalesce(source, 'unknown') AS grp, 'doc://' || doc_id AS u
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
     """One row per page_id; redelivered rows agree in url and content."""
-    cols = ("grp", "url", "title", "content", "depth", "format", "meta")
-    return table(spark, d, "page_records").groupBy("page_id").agg(*[F.min(c).alias(c) for c in cols], F.max("crawled_at").alias("crawled_at"))
+    cols = ("grp", "url", "title", "content", "depth", "format", "meta", "crawled_at")
+    # of redeliveries the last; a struct keeps the columns of one row together
+    last = table(spark, d, "page_records").groupBy("page_id").agg(F.max_by(F.struct(*cols), F.struct("crawled_at", F.col("title").isNotNull(), "title", "meta", "depth")).alias("r"))
+    return last.select("page_id", "r.*")
 
 
-PAGES = "p AS (SELECT page_id, min(grp) AS grp, min(url) AS url, min(title) AS title, min(content) AS content, min(depth) AS depth, min(format) AS format, min(meta) AS meta, max(crawled_at) AS crawled_at FROM page_records GROUP BY page_id)"
+PAGES = """p AS (SELECT page_id, grp, url, title, content, depth, format, meta, crawled_at FROM page_records
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY crawled_at DESC NULLS LAST, title IS NOT NULL DESC, title DESC NULLS LAST, meta DESC NULLS LAST, depth DESC NULLS LAST) = 1)"""
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -471,32 +477,81 @@ def sitemap_scan(spark, d):
 
 @query(
     """WITH v AS (SELECT DISTINCT grp AS host, page_id AS id, crawled_at AS t FROM page_records), g AS (SELECT *, epoch(t) - epoch(lag(t) OVER (PARTITION BY host ORDER BY t, id)) AS gap FROM v)
- SELECT host, id, round(greatest(0, coalesce(1800 - gap, 0)), 3) AS wait_s FROM g"""
+ SELECT host, id, round(greatest(0, coalesce(100 - gap, 0)), 3) AS wait_s FROM g"""
 )
 def rate_limit_gaps(spark, d):
     v = table(spark, d, "page_records").select(F.col("grp").alias("host"), F.col("page_id").alias("id"), F.col("crawled_at").alias("at")).distinct()
-    w = W.partitionBy("host").orderBy("at", "id")
-    gap = F.unix_micros("at") / 1e6 - F.unix_micros(F.lag("at").over(w)) / 1e6
-    return v.select("host", "id", F.round(F.greatest(F.lit(0.0), F.coalesce(1800 - gap, F.lit(0.0))), 3).alias("wait_s"))
+    return graph.rate_gaps(v, 0.01).select("host", "id", F.round("wait_s", 3).alias("wait_s"))
 
 
 # --- store -----------------------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT url, grp, max(crawled_at) AS crawled_at, arg_max(page_id, struct_pack(a := crawled_at, b := page_id)) AS page_id FROM page_records GROUP BY url, grp")
+def fresh_store(spark: SparkSession) -> store.Store:
+    return store.Store(spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}")
+
+
+def page_rows(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "page_records").select("grp", "url", "title", "content", "depth", "format", "crawled_at", "meta")
+
+
+_LATE = "2025-06-01"
+
+
+@query(
+    f"""WITH r AS (SELECT url, grp, crawled_at, CASE WHEN crawled_at >= TIMESTAMP '{_LATE}' THEN 0 ELSE 1 END AS batch FROM page_records),
+ n AS (SELECT url, grp, arg_max(crawled_at, struct_pack(b := batch, c := crawled_at)) AS crawled_at FROM r GROUP BY url, grp) SELECT url, grp, crawled_at FROM n"""
+)
 def upsert_latest(spark, d):
-    new = table(spark, d, "page_records").select("url", "grp", "crawled_at", "page_id")
-    return store.upsert(new.where(F.lit(False)), new, order=("crawled_at", "page_id"))
+    """Late rows first, early ones as the second batch: the batch wins over the crawl time."""
+    s, rows = fresh_store(spark), page_rows(spark, d)
+    late = F.coalesce(F.col("crawled_at") >= _LATE, F.lit(False))
+    s.upsert_pages(rows.where(late))
+    s.upsert_pages(rows.where(~late))
+    return s.read("page").select("url", "grp", "crawled_at")
+
+
+@query(
+    """WITH n AS (SELECT grp, url, max(depth) AS depth FROM page_records WHERE grp <> 'news_howefiba_test' GROUP BY ALL)
+ SELECT grp, url, CASE WHEN depth = 0 THEN '{"root":true}' END AS root_meta FROM n"""
+)
+def store_roundtrip(spark, d):
+    """Pages stored, metadata of start pages set, one group reset, batches merged and read back."""
+    s = fresh_store(spark)
+    s.upsert_pages(page_rows(spark, d).groupBy("grp", "url").agg(F.max("depth").alias("depth")).selectExpr("grp", "url", "'' title", "'' content", "depth", "'text' format", "timestamp'2025-01-01' crawled_at", "cast(null as string) meta"))
+    s.update_meta(s.read("page").where("depth = 0").select("grp", "url", F.lit('{"root":true}').alias("meta")))
+    s.reset_group("news_howefiba_test")
+    s.compact("page")
+    return s.read("page").select("grp", "url", F.col("meta").alias("root_meta"))
 
 
-@query("SELECT page_id, grp, url FROM page_records WHERE grp <> 'news_howefiba_test' GROUP BY ALL")
+@query("SELECT grp, url FROM page_records WHERE grp <> 'news_howefiba_test' GROUP BY ALL")
 def reset_group(spark, d):
-    return table(spark, d, "page_records").where(F.col("grp") != "news_howefiba_test").select("page_id", "grp", "url").distinct()
+    s = fresh_store(spark)
+    s.upsert_pages(page_rows(spark, d))
+    s.reset_group("news_howefiba_test")
+    return s.read("page").select("grp", "url")
 
 
-@query("SELECT DISTINCT chunk_id FROM chunks WHERE page_id IS NULL OR page_id NOT IN (SELECT page_id FROM page_tombstones WHERE page_id IS NOT NULL)")
+@query(
+    """SELECT grp, CAST(page_id AS VARCHAR) AS page_url, count(DISTINCT chunk_id) AS n_chunks FROM chunks c WHERE page_id IS NOT NULL
+ AND NOT EXISTS (SELECT 1 FROM page_tombstones t WHERE t.page_id = c.page_id AND t.grp = c.grp) GROUP BY ALL"""
+)
 def delete_chunks(spark, d):
-    return table(spark, d, "chunks").join(table(spark, d, "page_tombstones"), "page_id", "left_anti").select("chunk_id").distinct()
+    s = fresh_store(spark)
+    rows = chunks(spark, d).where(F.col("page_id").isNotNull()).select("grp", F.col("page_id").cast("string").alias("page_url"), "chunk_index", "chunk_text", "heading_path")
+    s.replace_chunks(rows.selectExpr("*", "cast(null as array<float>) embedding", "cast(null as string) model", "cast(null as int) dimensions", "current_timestamp() created_at"))
+    s.delete_chunks(table(spark, d, "page_tombstones").select("grp", F.col("page_id").cast("string").alias("url")))
+    return s.read("chunk").groupBy("grp", "page_url").agg(F.count(F.lit(1)).alias("n_chunks"))
+
+
+@query(f"WITH {PAGES} SELECT grp, url, 32 AS dimensions, 'hash-32' AS model FROM p WHERE trim(coalesce(content, '')) <> '' GROUP BY grp, url")
+def chunk_embed_index(spark, d):
+    """Pages stored, chunked, embedded and put into the chunk table."""
+    s, p = fresh_store(spark), pages(spark, d).withColumn("error", F.lit(None).cast("string"))
+    s.upsert_pages(p)
+    s.replace_chunks(embed.chunk_embed_index(p, s.read("page").select("grp", "url"), embed.HashProvider(32), "hash-32"))
+    return s.read("chunk").where(F.size("embedding") == F.col("dimensions")).select("grp", F.col("page_url").alias("url"), "dimensions", "model").distinct()
 
 
 @query(
@@ -508,13 +563,12 @@ def manifest(spark, d):
     return files.manifest(r)
 
 
-@query("SELECT grp, url, title, depth, format, meta FROM page_records WHERE grp = 'news_howefiba_test'")
+@query(f"WITH {PAGES} SELECT grp, url, title, depth, format, meta FROM p WHERE grp = 'news_howefiba_test'")
 def export_group(spark, d):
-    return store_rows(table(spark, d, "page_records")).select("grp", "url", "title", "depth", "format", "meta")
-
-
-def store_rows(df: DataFrame) -> DataFrame:
-    return df.where(F.col("grp") == "news_howefiba_test")
+    """A group written as JSON lines and imported again."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}.jsonl"
+    files.export_table(pages(spark, d), path, "news_howefiba_test")
+    return files.import_pages(spark, path, "news_howefiba_test").select("grp", "url", "title", "depth", "format", "meta")
 
 
 @query("SELECT DISTINCT url, coalesce(title, '') AS title, depth, format FROM crawl_results WHERE error IS NULL")
@@ -573,14 +627,93 @@ def chunk_vectors(spark, d):
     return chunks(spark, d).join(v.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("vectors")), "chunk_id").select("chunk_id", "page_id", "vectors")
 
 
-@query()
+def linked_site(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Captures whose markup holds the links of link_records (to a page of their site that is missing, if the page is unknown), and a seed of every site."""
+    p = pages(spark, d).where(F.col("grp").isNotNull()).select("page_id", "grp", _site_url("grp", F.col("page_id")).alias("url"))
+    links = table(spark, d, "link_records").select(F.col("from_page").alias("page_id"), "to_page").where(F.col("to_page").isNotNull()).distinct()
+    known = p.select(F.col("page_id").alias("to_page"), F.col("url").alias("known"))
+    # popular targets are joined by key with AQE splitting what is skewed; their rows are few columns wide
+    aimed = links.join(known, "to_page", "left").join(p.select("page_id", "grp"), "page_id")
+    href = F.coalesce("known", F.concat(F.lit("/missing/"), F.col("to_page").cast("string")))
+    anchors = aimed.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('<a href="'), href, F.lit('">to</a>')))), " ").alias("a"))
+    body = F.concat(F.lit("<html><head><title>Captured page</title></head><body><p>"), F.lit("Words of a captured page. " * 12), F.lit("</p>"), F.coalesce("a", F.lit("")), F.lit("</body></html>"))
+    made = p.join(anchors, "page_id", "left").select("url", body.alias("html"), F.lit("Captured page").alias("title"), F.lit(200).alias("http_status"))
+    seeds = p.groupBy("grp").agg(F.min("page_id").alias("ord")).select("ord", _site_url("grp", F.col("ord")).alias("url"))
+    return made, seeds
+
+
+def _site_url(grp: str, page_id) -> DataFrame:
+    return F.concat(F.lit("https://"), F.replace(grp, F.lit("_"), F.lit("-")), F.lit(".example/page/"), page_id.cast("string"))
+
+
+_SITE = """p AS (SELECT page_id, min(grp) AS grp, 'https://' || replace(min(grp), '_', '-') || '.example/page/' || page_id AS url FROM page_records WHERE grp IS NOT NULL GROUP BY page_id),
+ l AS (SELECT DISTINCT from_page, to_page FROM link_records WHERE to_page IS NOT NULL),
+ e AS (SELECT f.url AS src, coalesce(t.url, 'https://' || replace(f.grp, '_', '-') || '.example/missing/' || l.to_page) AS dst, coalesce(t.grp, f.grp) = f.grp AS same
+   FROM l JOIN p f ON f.page_id = l.from_page LEFT JOIN p t ON t.page_id = l.to_page),
+ b AS (SELECT 'https://' || replace(grp, '_', '-') || '.example/page/' || min(page_id) AS url, 0 AS depth FROM p GROUP BY grp
+   UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.url WHERE b.depth < 2 AND e.same),
+ f AS (SELECT url, min(depth) AS depth FROM b GROUP BY url), n AS (SELECT src, count(*) AS n FROM e GROUP BY src)"""
+
+
+@query(f"WITH RECURSIVE {_SITE} SELECT f.url, f.depth, CASE WHEN p.url IS NULL THEN 'page not captured' END AS error, coalesce(n.n, 0) AS links_found FROM f LEFT JOIN p ON p.url = f.url LEFT JOIN n ON n.src = f.url")
 def crawl_pages(spark, d):
-    p = html_pages(spark, d).select("url", "html", "title", F.lit(200).alias("http_status"))
-    seed = p.agg(F.min("url")).first()[0]
-    return graph.crawl(p, [seed], max_depth=1).select("ord", "url", "depth", "error")
+    captured, seeds = linked_site(spark, d)
+    return graph.crawl(captured, seeds, max_pages=0, max_discovered=None).select("url", "depth", "error", "links_found")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_SITE} SELECT f.url, CASE WHEN p.url IS NULL THEN '' ELSE trim(repeat('Words of a captured page. ', 12)) END AS first_words, 'markdown' AS format, CASE WHEN p.url IS NULL THEN NULL ELSE 'Captured page' END AS title
+ FROM f LEFT JOIN p ON p.url = f.url"""
+)
+def crawl_results_full(spark, d):
+    captured, seeds = linked_site(spark, d)
+    got = graph.crawl(captured, seeds, max_pages=0, max_discovered=None)
+    return got.select("url", F.regexp_extract("content", r"(?s)((?:Words of a captured page\.\s*)*)", 1).alias("w"), "format", "title").select("url", F.trim(F.regexp_replace("w", r"\s+", " ")).alias("first_words"), "format", "title")
+
+
+@query(
+    f"""WITH RECURSIVE {_SITE}, s AS (SELECT url FROM f LEFT JOIN p USING (url) WHERE p.url IS NOT NULL) SELECT 'page' AS kind, count(*) AS n FROM s
+ UNION ALL SELECT 'link', count(*) FROM (SELECT DISTINCT src, dst FROM e WHERE src IN (SELECT url FROM s)) UNION ALL SELECT 'chunk pages', count(*) FROM s UNION ALL SELECT 'found', count(*) FROM s"""
+)
+def crawl_into_store(spark, d):
+    """The whole way: crawl, store, edges, chunks with vectors, postings, search."""
+    s = fresh_store(spark)
+    captured, seeds = linked_site(spark, d)
+    pipeline.crawl_into_store(s, captured, seeds, embed.HashProvider(16), "hash-16", max_pages=0, max_discovered=None)
+    kinds = {
+        "page": s.read("page"), "link": s.read("discovered"), "chunk pages": s.read("chunk").select("grp", "page_url").distinct(),
+        "found": s.search("captured words", limit=1 << 30),
+    }
+    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("kind"), "n") for k, df in kinds.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
+
+
+_PAIR_COS = "list_cosine_similarity(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(b.embedding, lambda x: CAST(x AS DOUBLE)))"
+
+
+@query(f"WITH {CHUNKS}, {VECTORS}, x AS (SELECT page_id, chunk_id, embedding FROM c JOIN v USING (chunk_id) WHERE page_id IS NOT NULL) SELECT a.chunk_id AS chunk_a, b.chunk_id AS chunk_b, round({_PAIR_COS}, 6) AS cos FROM x a JOIN x b ON a.page_id = b.page_id AND a.chunk_id < b.chunk_id")
 def cosine_pairs(spark, d):
-    v = vectors(spark, d)
-    return v.select("chunk_id", F.round(cosine(F.col("embedding"), F.reverse("embedding")), 6).alias("cos"))
+    """Cosine of every two chunks of a page."""
+    x = chunks(spark, d).where(F.col("page_id").isNotNull()).select("chunk_id", "page_id").join(vectors(spark, d), "chunk_id")
+    side = lambda n: x.select("page_id", F.col("chunk_id").alias(f"chunk_{n}"), F.col("embedding").alias(f"e_{n}"))
+    both = side("a").join(side("b"), "page_id").where(F.col("chunk_a") < F.col("chunk_b"))
+    return both.select("chunk_a", "chunk_b", F.round(cosine(F.col("e_a"), F.col("e_b")), 6).alias("cos"))
+
+
+@query(
+    f"""WITH {SEARCH}, q AS (SELECT embedding FROM embeddings WHERE vec_id = 0), k AS (SELECT s.*, {_COS.replace("e.embedding", "s.embedding")} AS score FROM s, q ORDER BY score DESC, grp, page_url, chunk_index LIMIT {TOP})
+ SELECT k.page_url, p.title AS page_title, k.chunk_text, round(k.score, 6) AS score FROM k LEFT JOIN p ON p.grp = k.grp AND p.url = k.page_url"""
+)
+def knn_search(spark, d):
+    best = search.knn_search(search_chunks(spark, d), pages(spark, d), _query_vector(spark, d), TOP)
+    return best.select("page_url", "page_title", "chunk_text", F.round("score", 6).alias("score"))
+
+
+@query("WITH " + _bm25_sql(WORDS.split()) + " SELECT grp, url, round(score, 6) AS score FROM b")
+def bm25_stored_index(spark, d):
+    """Postings written to the store in two batches, the second replacing half of the first."""
+    s, docs = fresh_store(spark), documents_as_pages(spark, d)
+    odd = F.pmod(F.xxhash64("url"), F.lit(2)) == 1
+    s.index_pages(docs.where(odd).withColumn("content", F.lit(WORDS * 3)).unionByName(docs.where(~odd)), stemmed=False)
+    s.index_pages(docs.where(odd), stemmed=False)
+    return s.search(WORDS, TOP, stemmed=False).select("grp", "url", F.round("score", 6).alias("score"))
