@@ -190,6 +190,14 @@ SQL = {
     "p6_found": _GRAMS
     + """SELECT x AS page_id_a, y AS page_id_b FROM c JOIN n a ON a.page_id = c.x JOIN n b ON b.page_id = c.y
          WHERE c.c / (a.n + b.n - c.c) >= 0.6 - 1e-12""",
+    "p6_groups": _GRAMS.replace("WITH w AS", "WITH RECURSIVE w AS")
+    + """, k AS (SELECT page_id, min(page_id) OVER (PARTITION BY array_to_string(w, ' ')) AS class_id FROM w WHERE len(w) >= 3),
+ s AS (SELECT DISTINCT kx.class_id AS a, ky.class_id AS b FROM c JOIN n p ON p.page_id = c.x JOIN n q ON q.page_id = c.y JOIN k kx ON kx.page_id = c.x JOIN k ky ON ky.page_id = c.y
+   WHERE c.c / (p.n + q.n - c.c) >= 0.6 - 1e-12 AND kx.class_id <> ky.class_id),
+ t AS (SELECT a, b FROM s UNION SELECT b, a FROM s), r AS (SELECT DISTINCT class_id AS a, class_id AS b FROM k UNION SELECT r.a, t.b FROM r JOIN t ON t.a = r.b),
+ m AS (SELECT a, min(b) AS label FROM r GROUP BY a), d AS (SELECT a, count(DISTINCT b) AS n FROM t GROUP BY a)
+ SELECT i.page_id, coalesce(m.label, i.page_id) AS group_id, k.class_id, coalesce(d.n, 0) AS n_links
+ FROM (SELECT DISTINCT page_id FROM page_records) i LEFT JOIN k USING (page_id) LEFT JOIN m ON m.a = k.class_id LEFT JOIN d ON d.a = k.class_id""",
     "p3_found": "SELECT DISTINCT chunk_id FROM chunks WHERE octet_length(encode(chunk_text)) // 4 + 1 > 512",
     "p4_found": _LINES + "SELECT page_id, CAST(line_no AS INTEGER) AS line_no FROM hit",
     "p4_incremental": _LINES + "SELECT page_id, CAST(line_no AS INTEGER) AS line_no FROM hit",

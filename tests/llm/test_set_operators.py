@@ -6,10 +6,11 @@ from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from skeinery.llm import mix, neardup, neighbors, queries, sketch
+from skeinery.llm import grams, mix, neardup, neighbors, queries
 
 DATA = "/root/testdata/sf0.001"
 
@@ -149,11 +150,6 @@ def test_probe_order():
     assert all(11 - a != b for s in sets for a, b in combinations(s, 2))
 
 
-def test_count_cells(spark):
-    got = sketch.count_cells(spark.range(1000).select((F.col("id") % 10).alias("k")), F.col("k"), 1 << 15)
-    assert got[:10].tolist() == [100] * 10 and got.sum() == 1000 and len(got) == 1 << 15
-
-
 # --- near-duplicates ------------------------------------------------------------------------------------------
 
 
@@ -191,6 +187,41 @@ def test_near_pairs_against_brute_force(spark, t, block):
     assert got == brute_pairs(rows, t)
 
 
+def test_one_text_copied_many_times(spark):
+    """50,000 copies and 200 edits of one text: one class, every copy in the group, no pairs of copies anywhere."""
+    words = [f"w{i}" for i in range(60)]
+    copies = spark.range(50_000).select(F.col("id").alias("page_id"), F.lit(" ".join(words)).alias("content"))
+    edits = spark.createDataFrame([(100_000 + i, " ".join([*words[:50], f"own{i}", *words[51:]])) for i in range(200)], "page_id long, content string")
+    groups = neardup.near_groups(copies.unionByName(edits))
+    got = groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("class_id").alias("classes"), F.min("n_links").alias("least"), F.max("n_links").alias("most")).collect()
+    assert [tuple(r) for r in got] == [(0, 50_200, 201, 200, 200)]
+
+
+def test_frequency_steps():
+    n = np.array([1, 2, 31, 32, 33, 1000, 10**6])
+    steps = grams.step_of(n)
+    assert (np.diff(steps.astype(int)) >= 0).all() and (grams.most_of(steps) >= n).all() and steps[0] == 1
+    a = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 1000)).astype(np.uint64)
+    assert (grams.stretch(grams.squeeze(a), np.uint64) == a).all()
+
+
+@pytest.mark.parametrize("t", [0.6, 0.8])
+def test_trie_loses_no_similar_pair(t):
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 400, 60)
+    sets = [np.unique(np.where(rng.random(60) < rng.uniform(0, 0.3), rng.integers(0, 400, 60), base)) for _ in range(120)]
+    who = np.repeat(np.arange(120), [len(x) for x in sets])
+    g = (np.concatenate(sets).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(5)
+    order = np.lexsort((g, who))
+    who, g = who[order], g[order]
+    steps = grams.step_of(np.unique(g, return_counts=True)[1])
+    rows = neardup.block_postings(np.arange(120), who, g, steps, t, 16)
+    packed = {"part": [0]} | {f: [grams.squeeze(c)] for (f, _), c in zip(neardup._PACKED, (rows["key"], rows["rep"].astype(np.uint16), rows["pos"], rows["side"], np.ascontiguousarray(rows["path"]).reshape(-1), np.arange(120), np.bincount(who).astype(np.int32)))}
+    got = {tuple(p) for df in neardup._similar([pd.DataFrame(packed)], t) for p in df.to_numpy().tolist()}
+    want = {(i, j) for i, j in combinations(range(120), 2) if len(np.intersect1d(sets[i], sets[j])) >= t * len(np.union1d(sets[i], sets[j])) - 1e-9}
+    assert want and want <= got
+
+
 def test_near_edge_cases(spark):
     long = " ".join(f"x{i}" for i in range(60_000))
     rows = [(1, None), (2, ""), (3, "one two"), (4, "One, two three!"), (5, "one two three"), (4, "One, two three!"), (None, "one two three"), (6, long), (7, long + " more"), (8, "different words here")]
