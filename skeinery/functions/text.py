@@ -19,10 +19,7 @@ def collapse_whitespace(s: Column) -> Column:
 def cut_navigation(s: Column) -> Column:
     """Drop the rest of a text from the first ``Previous`` after ``Edit page``, then after ``Was this page helpful``."""
     for mark in ("Edit page", "Was this page helpful"):
-        start = F.instr(s, mark)
-        rest = F.instr(F.when(start > 0, s.substr(start, F.char_length(s))).otherwise(F.lit("")), "Previous")
-        at = F.when(rest > 0, start + rest - 1).otherwise(0)
-        s = F.when(at > 0, F.left(s, at - 1)).otherwise(s)
+        s = F.regexp_replace(s, rf"(?s)^(.*?{mark}.*?)Previous.*$", "$1")
     return s
 
 

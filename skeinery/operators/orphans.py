@@ -54,7 +54,7 @@ def orphan_references(
     ``kind`` is ``missing`` (key in neither table), ``deleted`` (only in the tombstones)
     or ``late`` (first crawled more than ``late_days`` after the link was found).
     Null references are none; a redelivered link (same link_id) counts once with its
-    earliest discovered_at; a null link_id is kept as one record; a null discovered_at or
+    earliest discovered_at; references without a link_id are told apart by key and time; a null discovered_at or
     crawled_at is never late. Empty tables give an empty result (all references missing if
     pages are empty). Further columns of the inputs are ignored.
     """
@@ -74,7 +74,7 @@ def orphan_references(
     kind = F.when(~F.col("has_parent"), F.when(F.col("deleted"), "deleted").otherwise("missing")).when(late, "late")
     return (
         orphans.withColumn("kind", kind)
-        .groupBy("link_id", "ref_field")
+        .groupBy("link_id", "ref_field", F.when(F.col("link_id").isNull(), F.struct("key", "discovered_at")).alias("__own"))
         .agg(F.min_by(F.struct("key", "discovered_at", "kind"), F.coalesce("discovered_at", F.lit("9999-01-01").cast("timestamp"))).alias("r"))
         .select("link_id", "ref_field", "r.key", "r.discovered_at", "r.kind")
         .where(F.col("kind").isNotNull())

@@ -23,8 +23,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     if PACKAGE_ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT, *paths])
     # long texts: bound what one Arrow batch holds, unless the user has chosen a size
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not spark._jsparkSession.sessionState().conf().contains(key):
+        spark.conf.set(key, "2000")
     return spark
 
 

@@ -76,28 +76,57 @@ def manifest(results: DataFrame, order: str = "ord") -> DataFrame:
     return numbered(results, order).select("url", "file", "depth", "title", "links_found", "error")
 
 
+def _opened(path: str):
+    """File system and path of a URI; a bare path is local."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 def write_output_dir(results: DataFrame, path: str, order: str = "ord") -> None:
     """One file per result, written by the tasks that hold it, and manifest.json; error rows are empty files.
 
-    ``path`` must be a folder all executors share.
+    ``path`` is a URI (hdfs://, s3://, file://) or path all executors share; a repeated task writes the same files anew.
     """
     import json
-    import os
 
     rows = numbered(results, order)
-    os.makedirs(path, exist_ok=True)
+    system, root = _opened(path)
+    system.create_dir(root, recursive=True)
 
     def write(part):
+        there, folder = _opened(path)
         for r in part:
-            with open(os.path.join(path, r.file), "w", encoding="utf-8") as f:
-                f.write(r.content or "")
+            with there.open_output_stream(f"{folder}/{r.file}") as f:
+                f.write((r.content or "").encode("utf-8", "surrogatepass"))
 
     rows.select("file", "content").foreachPartition(write)
-    with open(os.path.join(path, "manifest.json"), "w", encoding="utf-8") as f:
-        f.write("[\n")
+    with system.open_output_stream(f"{root}/manifest.json") as f:
+        f.write(b"[\n")
         for i, r in enumerate(rows.select("n", "url", "file", "depth", "title", "links_found", "error").orderBy("n").drop("n").toLocalIterator()):
-            f.write((",\n" if i else "") + json.dumps(r.asDict(), ensure_ascii=False))
-        f.write("\n]\n")
+            f.write(((",\n" if i else "") + json.dumps(r.asDict(), ensure_ascii=False)).encode("utf-8", "surrogatepass"))
+        f.write(b"\n]\n")
+
+
+def export_store(store, path: str, group: str | None = None) -> dict[str, int]:
+    """Pages, links and chunks of a store, or of a group, as JSON lines below ``path``; the number of rows of each."""
+    counts = {}
+    for name in ("page", "discovered", "chunk"):
+        export_table(store.read(name), f"{path}/{name}", group)
+        counts[name] = store.spark.read.text(f"{path}/{name}").count()
+    return counts
+
+
+def import_store(store, path: str, group: str | None = None) -> dict[str, int]:
+    """The tables of ``export_store`` back into a store, under another group if one is given; the number of rows of each."""
+    from skeinery.operators.store import SCHEMAS
+
+    counts = {}
+    for name, put in (("page", store.upsert_pages), ("discovered", store.insert_links), ("chunk", store.replace_chunks)):
+        rows = store.spark.read.schema(SCHEMAS[name]).json(f"{path}/{name}")
+        put(rows if group is None else rows.withColumn("grp", F.lit(group)))
+        counts[name] = rows.count()
+    return counts
 
 
 def write_json_lines(results: DataFrame, path: str) -> None:

@@ -6,8 +6,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from skeinery.operators import chunker, config, embed, graph, orphans, registry, search, skew, store, validate
-from skeinery.plans import pipeline
+from skeinery.operators import chunker, config, embed, graph, orphans, output, registry, search, skew, store, validate
+from skeinery.plans import commands, pipeline
 from skeinery.sources import captures, files
 
 
@@ -37,6 +37,12 @@ def test_orphans(spark):
     assert {(r.ref_field, r.month, r.kind, r.n_orphans) for r in report.collect()} == {("to_page", "2025-01", "late", 1), ("to_page", "2025-01", "missing", 1), ("from_page", "2025-01", "deleted", 1), ("from_page", "2025-01", "missing", 1)}
 
 
+def test_orphans_without_link_id(spark):
+    links = [(None, "g", 60, 61, T0), (None, "g", 60, 61, T0), (None, "g", 62, None, T0), (None, "g", 60, None, T0 + timedelta(days=1))]
+    got = orphans.orphan_references(*orphan_tables(spark, links, [], []))
+    assert sorted((r.ref_field, r.key) for r in got.collect()) == [("from_page", 60), ("from_page", 60), ("from_page", 62), ("to_page", 61)]
+
+
 def test_orphans_empty(spark):
     assert orphans.orphan_references(*orphan_tables(spark, [], [], [])).count() == 0
     assert orphans.orphan_references(*orphan_tables(spark, pages=[], stones=[])).where("kind = 'missing'").count() == 8
@@ -72,7 +78,7 @@ def test_validator(spark):
 
 def test_chunker():
     c = chunker.Chunker(100, 10)
-    assert [p for _, _, p in c.chunk("# Title\n\nIntro paragraph.\n\n## Section A\n\nContent A.\n\n### Subsection\n\nDetail.")] == [["Title"], ["Title", "Section A"], ["Title", "Section A", "Subsection"]]
+    assert [p for _, _, p in c.chunk("# Harbor\n\nBoats lie here.\n\n## Tides\n\nTwice a day.\n\n### Spring\n\nHigher ones.\n\n## Cranes\n\nFour.")] == [["Harbor"], ["Harbor", "Tides"], ["Harbor", "Tides", "Spring"], ["Harbor", "Cranes"]]
     assert [len(t) for _, t, _ in c.chunk(("This is a test. " * 100).strip())] == [318, 312, 312, 312, 312, 233]
     assert [t for _, t, _ in chunker.Chunker(5, 0).chunk("A" * 50 + "\n\nb")] == ["A" * 50, "b"]
     assert [t for _, t, _ in chunker.Chunker(5, 0, compat=True).chunk("A" * 50 + "\n\nb")] == ["", "A" * 50, "b"]
@@ -326,3 +332,30 @@ def test_registry(spark):
         r.call("db list", '{"x": 1}')
     with pytest.raises(NotImplementedError):
         r.call("db status")
+
+
+def test_commands_run(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/store")
+    r = commands.bound(s, site(spark, a=["/b"], b=[]), embed.HashProvider(8), "hash-8")
+    assert r.call("navigate", {"url": "https://e.x/a"}).first().title == "a"
+    assert r.call("extract", {"url": "https://e.x/b", "format": "text"}).first().error is None
+    assert r.call("crawl", {"url": "https://e.x/a"}).count() == 2
+    assert rows(r.call("db list")) == [("e_x",)] and tuple(r.call("db status").first())[:2] == (2, 1)
+    assert sorted(x.title for x in r.call("db query", {"query": "text"}).collect()) == ["a", "b"]
+    assert r.call("db vector", {"query": "text", "limit": 1}).count() == 1 and r.call("db hybrid", {"query": "text"}).count() >= 2
+    sizes = r.call("export", {"path": f"file://{tmp_path}/dump"})
+    other = store.Store(spark, f"file://{tmp_path}/other")
+    assert files.import_store(other, f"file://{tmp_path}/dump") == sizes and sizes["page"] == 2
+    assert other.read("chunk").count() == s.read("chunk").count() and other.read("discovered").count() == 1
+    r.call("db reset", {"group": "e_x"})
+    assert s.read("page").count() == 0 and all(t.name in registry.COMMANDS[i] for i, t in enumerate(r.tools.values()))
+
+
+def test_render(spark):
+    df = output.ranked(spark.createDataFrame([("u|1", 0.5, None), ("u2", 0.9, "x" * 60)], "url string, score double, title string"), "score", "url").orderBy("rank")
+    lines = [r.line for r in output.render(df, "markdown", "rank").orderBy("line_no").collect()]
+    assert lines[:2] == ["| url | score | title | rank |", "| --- | --- | --- | --- |"] and lines[2] == f"| u2 | 0.9 | {'x' * 40}... | 1 |" and lines[3] == "| u\\|1 | 0.5 | null | 2 |"
+    assert json.loads(output.render(df, "json", "rank").orderBy("line_no").collect()[1].line) == {"url": "u|1", "score": 0.5, "rank": 2}
+    assert [r.line.split()[0] for r in output.render(df, "table", "rank").orderBy("line_no").collect()] == ["url", "u2", "u|1"]
+    with pytest.raises(ValueError):
+        output.render(df, "xml")
