@@ -110,4 +110,6 @@ def resolve_link(href: Column, base: Column) -> Column:
     rooted = ref.startswith("/") & ~ref.startswith("//")
     root = F.concat(scheme(base), F.lit("://"), authority(base))
     target = F.when(absolute, ref).when(rooted & ~ref.contains(".."), F.concat(root, ref)).otherwise(_join(base, ref))
-    return F.when(is_navigable(href) & target.rlike("^(?i)https?://"), normalize_url(target))
+    # bound to a lambda variable: the target's expression would otherwise be repeated throughout the normalized one
+    whole = F.transform(F.array(target), lambda t: F.when(t.rlike("^(?i)https?://"), normalize_url(t))).getItem(0)
+    return F.when(is_navigable(href), whole)
