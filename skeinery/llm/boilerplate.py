@@ -4,8 +4,8 @@ A linear classifier gives each line the costs of being content or boilerplate; t
 terminal capacities of a graph whose other edges join neighbouring lines, the items
 of a list and a caption with its list. A minimum cut separates content from boilerplate.
 
-The classifier is trained without labels given by hand: in a bounded sample of pages, lines that recur
-in the same words on pages about different things are boilerplate, unique prose is content.
+The classifier is trained without labels given by hand: lines that recur in the same words on pages about
+different things are boilerplate, unique prose is content. ``train_model`` takes pages in memory, ``line_training.train`` whole tables.
 """
 
 from __future__ import annotations
@@ -25,10 +25,7 @@ from pyspark.sql import functions as F
 from skeinery.llm.linear import Features, fit
 from skeinery.llm.maxflow import minimum_cut
 
-#: Pages the classifier is trained on, at most about this many of the whole table.
-TRAIN_PAGES = 2400
-
-#: A word on at least so many hosts of the sample is common vocabulary; others are names.
+#: A word on at least so many hosts is common vocabulary; others are names.
 COMMON_HOSTS = 4
 
 #: Pages on which a line must recur to be taken as boilerplate in training.
@@ -262,13 +259,13 @@ def word_names(tokens: list[str]) -> list[str]:
 
 def _labels(pages: list[tuple[str, list[Line]]]) -> list[list[float]]:
     """Weak labels per line: 1 boilerplate, 0 content, nan none; no line of a page without prose has one."""
-    with_prose = [any(x.ends and len(x.words) > 11 and x.own for x in lines) for _, lines in pages]
+    with_prose = [_has_prose(lines) for _, lines in pages]
     seen: dict[str, dict[str, set]] = defaultdict(lambda: defaultdict(set))
     lead: dict[str, set] = defaultdict(set)  # common word and colon at a line's start, by host
     for (host, lines), good in zip(pages, with_prose):
         if not good:
             continue
-        topic = next((" ".join(x.words) for x in lines if x.title), None) or " ".join(w for x in lines for w in x.words)[:200]
+        topic = _topic(lines)
         for x in lines:
             if x.tokens and not x.own:
                 seen[" ".join(x.tokens)][host].add(topic)
@@ -278,37 +275,49 @@ def _labels(pages: list[tuple[str, list[Line]]]) -> list[list[float]]:
     for (host, lines), good in zip(pages, with_prose):
         got = []
         for x in lines:
-            k = len(x.words)
             hosts = seen.get(" ".join(x.tokens), {})
             again = not x.own and (len(hosts.get(host, ())) >= RECUR or (len(hosts) >= RECUR and sum(map(len, hosts.values())) >= 2 * RECUR))
-            trail = not x.ends and k < 12 and _TRAIL.search(x.text) is not None
-            if not good:
-                y = np.nan
-            elif x.marker in ("f", "c"):
-                y = 0.0
-            elif x.marker == "t" and (x.own or not any(t[0].isalpha() for t in x.words)):
-                y = 0.0
-            elif x.title or (x.marker == "h" and not trail):
-                y = 0.0
-            elif again or x.site or trail:
-                y = 1.0
-            elif len(x.tokens) > 2 and x.tokens[1] == ":" and len(lead.get(x.tokens[0], ())) >= RECUR:
-                y = 1.0
-            elif x.twin and x.marker in ("l", "n"):
-                y = 1.0
-            elif x.foreign and not x.own and (k <= 20 or x.tokens[0][0] == "<"):
-                y = 1.0
-            elif x.ends and k > 11 and not x.foreign:
-                y = 0.0
-            elif x.own and (x.marker in ("l", "n", "q") or (not x.ends and k <= 11)):
-                y = 0.0
-            else:
-                y = np.nan
-            got.append(y)
+            led = len(x.tokens) > 2 and x.tokens[1] == ":" and len(lead.get(x.tokens[0], ())) >= RECUR
+            got.append(_label(x, again or led, _is_trail(x)) if good else np.nan)
         out.append(got)
     return out
 
 
+def _has_prose(lines: list[Line]) -> bool:
+    return any(x.ends and len(x.words) > 11 and x.own for x in lines)
+
+
+def _topic(lines: list[Line]) -> str:
+    """What a page is about: its title line, or else its first words."""
+    return next((" ".join(x.words) for x in lines if x.title), None) or " ".join(w for x in lines for w in x.words)[:200]
+
+
+def _is_trail(x: Line) -> bool:
+    return not x.ends and len(x.words) < 12 and _TRAIL.search(x.text) is not None
+
+
+def _label(x: Line, again: bool, trail: bool) -> float:
+    """Weak label of a line of a page with prose; ``again`` if its words, or its first word and colon, recur."""
+    k = len(x.words)
+    if x.marker in ("f", "c"):
+        return 0.0
+    if x.marker == "t" and (x.own or not any(t[0].isalpha() for t in x.words)):
+        return 0.0
+    if x.title or (x.marker == "h" and not trail):
+        return 0.0
+    if again or x.site or trail:
+        return 1.0
+    if x.twin and x.marker in ("l", "n"):
+        return 1.0
+    if x.foreign and not x.own and (k <= 20 or x.tokens[0][0] == "<"):
+        return 1.0
+    if x.ends and k > 11 and not x.foreign:
+        return 0.0
+    if x.own and (x.marker in ("l", "n", "q") or (not x.ends and k <= 11)):
+        return 0.0
+    return np.nan
+
+
 @dataclass
 class Model:
     """Common vocabulary and feature weights by name; of bounded size."""
@@ -414,7 +423,7 @@ class Model:
         head = next((i for i, x in enumerate(lines) if x.title and x.marker in ("", "h")), None)
         if head is not None:
             gain[head] = 6.0
-        # wording that no boilerplate of the sample has stands where the article should be: errors, fillers, placeholders
+        # wording that no boilerplate of the training has stands where the article should be: errors, fillers, placeholders
         prose = any(g > 0 and x.ends and len(x.words) > 7 for g, x in zip(gain, lines))
         for i, x in enumerate(lines):
             if gain[i] > 0 or x.marker in ("l", "n") or x.link:
@@ -449,7 +458,7 @@ def smoothness(lines: list[Line]) -> list[tuple[int, int, float]]:
 
 
 def train_model(pages: list[tuple[str | None, str | None, str | None]]) -> Model:
-    """A model from sampled (content, title, url)."""
+    """A model from (content, title, url) held in memory."""
     hosts: dict[str, set[str]] = defaultdict(set)
     pages = [(c, t, u) for c, t, u in pages if c]
     for content, _, url in pages:
@@ -472,15 +481,6 @@ def train_model(pages: list[tuple[str | None, str | None, str | None]]) -> Model
     return Model(common, {n: round(float(w[i]), 4) for n, i in f.known.items() if abs(w[i]) > 0.01})
 
 
-def sample(pages: DataFrame, id_col: str, most: int = TRAIN_PAGES) -> list[tuple]:
-    """About ``most`` pages (content, title, url) spread evenly over the table by the hash of their id."""
-    good = pages.where(F.length("content") > 0)
-    n = good.count()
-    step = max(1, -(-n // most))
-    rows = good.where(F.pmod(F.xxhash64(id_col), F.lit(step)) == 0).select("content", "title", "url").dropDuplicates(["content"])
-    return [tuple(r) for r in rows.limit(2 * most).toLocalIterator()]
-
-
 def main_lines(pages: DataFrame, id_col: str, model: Model, spark_model=None) -> DataFrame:
     """id, line_no, main of every non-blank line of every page.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import xxhash
@@ -21,17 +21,30 @@ class Features:
     def __getitem__(self, name: str) -> int:
         i = self.known.get(name)
         if i is None:
-            i = xxhash.xxh64_intdigest(name.encode("utf-8", "surrogatepass")) % self.dimensions
-            self.known[name] = i
+            i = self.known[name] = self.dimension(name, self.dimensions)
         return i
 
+    @staticmethod
+    def dimension(name: str, dimensions: int) -> int:
+        return xxhash.xxh64_intdigest(name.encode("utf-8", "surrogatepass")) % dimensions
+
+
+def descend(gradient: Callable[[np.ndarray], np.ndarray], l2: float = 1e-5, rounds: int = 60, rate: float = 0.15, dimensions: int = DIMENSIONS) -> np.ndarray:
+    """Weights that minimize a regularized loss, given the gradient of the loss at any weights, by full-batch Adam."""
+    w, m, v = np.zeros(dimensions), np.zeros(dimensions), np.zeros(dimensions)
+    for k in range(1, rounds + 1):
+        g = gradient(w) + l2 * w
+        m = 0.9 * m + 0.1 * g
+        v = 0.98 * v + 0.02 * g * g
+        w = w - rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.98**k)) + 1e-8)
+    return w
+
 
 def fit(rows: Sequence[Sequence[int]], labels: Sequence[float], l2: float = 1e-5, rounds: int = 60, rate: float = 0.15, dimensions: int = DIMENSIONS, weights: np.ndarray | None = None) -> np.ndarray:
     """Weights of a logistic regression on binary features, by full-batch Adam; classes count equally unless weighted."""
-    w = np.zeros(dimensions)
     y = np.asarray(labels, np.float64)
     if not len(y):
-        return w
+        return np.zeros(dimensions)
     if weights is None:
         pos = max(1.0, y.sum())
         neg = max(1.0, len(y) - y.sum())
@@ -39,12 +52,10 @@ def fit(rows: Sequence[Sequence[int]], labels: Sequence[float], l2: float = 1e-5
     sizes = np.array([len(r) for r in rows], np.int64)
     flat = np.fromiter((i for r in rows for i in r), np.int64, int(sizes.sum()))
     owner = np.repeat(np.arange(len(rows)), sizes)
-    m, v = np.zeros(dimensions), np.zeros(dimensions)
-    for k in range(1, rounds + 1):
+
+    def gradient(w: np.ndarray) -> np.ndarray:
         z = np.bincount(owner, w[flat], len(rows))
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        g = np.bincount(flat, ((p - y) * weights)[owner], dimensions) + l2 * w
-        m = 0.9 * m + 0.1 * g
-        v = 0.98 * v + 0.02 * g * g
-        w -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.98**k)) + 1e-8)
-    return w
+        return np.bincount(flat, ((p - y) * weights)[owner], dimensions)
+
+    return descend(gradient, l2, rounds, rate, dimensions)

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinery.llm import boilerplate, encode, lines, mix, neardup, neighbors, residue, sentences, split
+from skeinery.llm import boilerplate, encode, line_training, lines, mix, neardup, neighbors, residue, sentences, split
 from skeinery.session import prepare, stage, table
 
 
 def _line_model(pages: DataFrame, results: DataFrame) -> boilerplate.Model:
-    half = boilerplate.TRAIN_PAGES // 2
-    return boilerplate.train_model(boilerplate.sample(pages, "page_id", half) + boilerplate.sample(results, "result_id", half))
+    return line_training.train(pages.select("content", "title", "url").unionByName(results.select("content", "title", "url")))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

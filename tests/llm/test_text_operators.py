@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from skeinery.llm import boilerplate, encode, lines, maxflow, residue, sentences, split
+from skeinery.llm import boilerplate, encode, line_training, lines, maxflow, queries, residue, sentences, split
 
 
 # --- minimum cut -----------------------------------------------------------------------------------------
@@ -77,6 +77,34 @@ def test_main_lines_edge_cases(spark):
     assert boilerplate.train_model([]).label("any text", None, None)[1] in ([True], [False])
 
 
+def same_model(got, want):
+    assert got.common == want.common
+    assert set(got.weights) ^ set(want.weights) <= {n for m in (got, want) for n, x in m.weights.items() if abs(x) < 0.02}
+    assert all(abs(x - want.weights.get(n, x)) < 0.01 for n, x in got.weights.items())
+
+
+def test_whole_table_training_equals_one_fit(spark):
+    pages = [(c, t, u) for c, t, u, _ in made_pages()]
+    df = spark.createDataFrame([*pages, (None, "t", "u"), ("", None, None)], "content string, title string, url string")
+    want = boilerplate.train_model(pages)
+    same_model(line_training.train(df.repartition(5)), want)
+    assert line_training.train(df.limit(0)).label("any text", None, None)[1] in ([True], [False])
+
+
+def test_every_page_has_a_say(spark, tmp_path):
+    """A notice on few pages of a large table is known only if none is left out of the training."""
+    pages = [(c, t, u) for c, t, u, _ in made_pages(hosts=40, per_host=75)]
+    notice = "Window a near letter the keeps garden"
+    rare = [c.replace("Share this page", f"{notice}\nShare this page") for c, _, _ in pages[:3]]
+    pages = [(r, t, u) for r, (_, t, u) in zip(rare, pages)] + pages[3:]
+    rows = [(i, *p) for i, p in enumerate(pages)]
+    spark.createDataFrame(rows, "page_id long, content string, title string, url string").write.parquet(f"{tmp_path}/page_records.parquet")
+    spark.createDataFrame([], "result_id long, content string, title string, url string").write.parquet(f"{tmp_path}/crawl_results.parquet")
+    model = queries._line_model(spark.read.parquet(f"{tmp_path}/page_records.parquet"), spark.read.parquet(f"{tmp_path}/crawl_results.parquet"))
+    tokens = next(x for x in model.reader.describe(*pages[0]) if x.text == notice).tokens
+    assert set(zip(tokens, tokens[1:])) <= model.double
+
+
 # --- splitting ------------------------------------------------------------------------------------------------
 
 
