@@ -36,6 +36,9 @@ _ENTITY = {"&gt;": ">", "&lt;": "<", "&amp;": "&", "&quot;": '"', "&nbsp;": " ",
 _MARKER = re.compile(r"(?:(#{1,6})|([-*+•‣◦·–])|(\d{1,3}[.)])|(>))\s+")
 _LINK = re.compile(r"\[([^\]]*)\]\(([^)]*)\)")
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[©|·›>»/:?!&→…]")
+_ASCII_TOKEN = re.compile(r"[a-z]+|[0-9]+|[|>/:?!&]")  # the same in lower-case ASCII, where it is faster
+# ASCII in lower case with spaces for what is in no token; zero for what is in one but no letter
+_PLAIN = bytes(ord(c.lower()) if c.isalpha() else 0 if c.isdigit() or c in "|>/:?!&" else 32 for c in map(chr, range(128))) + bytes(128)
 #: Marks of an unfilled template field.
 PLACEHOLDER = re.compile(r"\{\{.*?\}\}|\{%.*?%\}|<%.*?%>|[$#]\{[^}]*\}|%%\w+%%|@@\w+@@|__[A-Z][A-Z_]+__|\[\[\w+\]\]|\{\w*\}|\[[A-Z][A-Z_ ]+\]|%\(\w+\)s|\b[A-Z]+(?:_[A-Z]+)+\b|\[(?i:insert|your)\b[^\]]{0,80}\]|\bTODO:")
 _SENTENCE_END = re.compile(r"[.!?。！？।…:]['\"”’»)\]“]*(?:\s|\Z)")
@@ -43,6 +46,14 @@ _SUFFIX = re.compile(r"\s+[|·–—-]\s+[^|·–—]+$")
 _TRAIL = re.compile(r" [>›»→/] ")
 
 
+def tokens_of(text: str) -> list[str]:
+    """The tokens of a text in lower case."""
+    if not text.isascii():
+        return _TOKEN.findall(text.lower())
+    plain = text.encode().translate(_PLAIN)
+    return _ASCII_TOKEN.findall(text.lower()) if 0 in plain else plain.decode().split()
+
+
 def host_of(url: str | None) -> str:
     rest = (url or "").partition("://")[2] or (url or "")
     return re.split(r"[/?#]", rest, maxsplit=1)[0].lower().rpartition("@")[2].partition(":")[0]
@@ -107,31 +118,7 @@ def _parse(s: str) -> tuple[str, str, list[str], int, int]:
     if "](" in s:
         link = 1 if _LINK.fullmatch(s) else 2
         s = _LINK.sub(r"\1", s)
-    return s, marker, _TOKEN.findall(s.lower()), link, len(_SENTENCE_END.findall(s))
-
-
-_parse_short = lru_cache(1 << 16)(_parse)
-
-
-def read_lines(content: str) -> list[Line]:
-    """The non-blank lines of a page with their kind of mark-up."""
-    out: list[Line] = []
-    fenced = blank = False
-    for no, raw in enumerate(content.split("\n")):
-        s = raw.strip()
-        if not s:
-            blank = True
-            continue
-        if s.startswith(("```", "~~~")):
-            out.append(Line(no, s, "f", [], 0, blank))
-            fenced = not fenced
-        elif fenced:
-            out.append(Line(no, s, "c", _TOKEN.findall(s.lower()), 0, blank))
-        else:
-            t, marker, words, link, ends = _parse_short(s) if len(s) < 100 else _parse(s)
-            out.append(Line(no, t, marker, words, link, blank, ends=ends))
-        blank = False
-    return out
+    return s, marker, tokens_of(s), link, len(_SENTENCE_END.findall(s))
 
 
 def _key(text: str) -> str:
@@ -155,67 +142,99 @@ class Reader:
         self.common = common
         self.names = [*KINDS, *_PUNCTUATION, *sorted(common)]
         self.ids = {w: i for i, w in enumerate(self.names)}
+        self._short = lru_cache(1 << 16)(self._numbered)
+
+    def _number(self, words: list[str]) -> tuple[list[int], list[int]]:
+        """The words' numbers, and the places of those to be told from the page."""
+        ids, rare = list(map(self.ids.get, words)), []
+        if None in ids:
+            for i, n in enumerate(ids):
+                if n is None:
+                    if words[i][0].isalpha():
+                        rare.append(i)
+                    else:
+                        ids[i] = _N
+        return ids, rare
+
+    def _numbered(self, s: str) -> tuple:
+        """Of a line outside code, what does not depend on its page."""
+        t, marker, words, link, ends = _parse(s)
+        return t, marker, words, link, ends, *self._number(words), " ".join(words) if len(words) < 30 else t
+
+    def _read(self, content: str) -> tuple[list[Line], list[list[int]], list[str]]:
+        """The non-blank lines of a page with their kind of mark-up, the places of their rare words, and what makes lines twins."""
+        lines, rare, keys = [], [], []
+        fenced = blank = False
+        short, numbered, names = self._short, self._numbered, self.names
+        for no, raw in enumerate(content.split("\n")):
+            s = raw.strip()
+            if not s:
+                blank = True
+                continue
+            if s.startswith(("```", "~~~")):
+                t, marker, words, link, ends, ids, places, key = s, "f", [], 0, 0, [], (), ""
+                fenced = not fenced
+            elif fenced:
+                t, marker, words, link, ends = s, "c", tokens_of(s), 0, 0
+                (ids, places), key = self._number(words), " ".join(words) if len(words) < 30 else s
+            else:
+                t, marker, words, link, ends, ids, places, key = short(s) if len(s) < 100 else numbered(s)
+            lines.append(Line(no, t, marker, words, link, blank, ids, names, False, False, False, False, False, ends))
+            rare.append(places)
+            keys.append(key)
+            blank = False
+        return lines, rare, keys
 
     def describe(self, content: str, title: str | None, url: str | None) -> list[Line]:
-        lines = read_lines(content)
+        lines, places, keys = self._read(content)
         site = site_name(host_of(url))
-        common, names = self.common, self.names
-        flat = [w for x in lines for w in x.words]
-        ids = list(map(self.ids.get, flat))
+        common = self.common
         # the few words outside the vocabulary, with their lines
-        rare: list[tuple[int, str, Line]] = []
         prose: dict[str, int] = {}
         spread: dict[str, int] = {}  # lines that have the name
-        at = 0
-        for x in lines:
-            end = at + len(x.words)
-            if None in ids[at:end]:
+        for x, at in zip(lines, places):
+            if at:
                 told = x.ends and len(x.words) > 7 or x.marker == "h" or x.marker == "c"
-                here = set()
-                for i in range(at, end):
-                    if ids[i] is None:
-                        w = flat[i]
-                        if not w[0].isalpha():
-                            ids[i] = _N
-                            continue
-                        rare.append((i, w, x))
-                        if w not in here:
-                            here.add(w)
-                            spread[w] = spread.get(w, 0) + 1
-                            if told:
-                                prose[w] = prose.get(w, 0) + 1
-            at = end
+                words = x.words
+                for w in dict.fromkeys([words[i] for i in at]) if len(at) > 1 else (words[at[0]],):
+                    spread[w] = spread.get(w, 0) + 1
+                    if told:
+                        prose[w] = prose.get(w, 0) + 1
         prose.pop(site, None)
         subject = {w for w in _TOKEN.findall((title or "").lower()) if w not in common and w[0].isalpha() and w != site}
         top = max(prose, key=prose.__getitem__, default=None)
         own = {w for w in subject if w in prose} or ({top} if top and prose[top] > 1 else set()) or subject
-        for i, w, x in rare:
-            if w == site:
-                ids[i] = _SITE
-                x.site = True
-            elif w in own:
-                ids[i] = _OWN
-                x.own = True
-            elif spread[w] < 2 or w not in prose:
-                ids[i] = _NEW
-                x.foreign = True
-            else:
-                ids[i] = _NAME
-        plain_site = bool(site) and site in common
-        keys = [" ".join(x.words) if len(x.words) < 30 else x.text for x in lines]
-        heads = Counter(keys)
+        for x, at in zip(lines, places):
+            if at:
+                words, ids = x.words, x.ids.copy()  # those of short lines are shared
+                for i in at:
+                    w = words[i]
+                    if w == site:
+                        ids[i] = _SITE
+                        x.site = True
+                    elif w in own:
+                        ids[i] = _OWN
+                        x.own = True
+                    elif spread[w] < 2 or w not in prose:
+                        ids[i] = _NEW
+                        x.foreign = True
+                    else:
+                        ids[i] = _NAME
+                x.ids = ids
+        if site and site in common:
+            for x in lines:
+                if site in x.words:
+                    x.site = True
+                    x.ids = [_SITE if w == site else i for w, i in zip(x.words, x.ids)]
+        if len(set(keys)) < len(keys):
+            heads = Counter(keys)
+            for x, key in zip(lines, keys):
+                x.twin = heads[key] > 1 and bool(key)
         wanted = {_key(title), _key(_SUFFIX.sub("", title))} - {""} if title else ()
-        at = 0
-        for x, key in zip(lines, keys):
-            end = at + len(x.words)
-            x.ids, x.names = ids[at:end], names
-            if plain_site and site in x.words:
-                x.site = True
-                x.ids = [_SITE if w == site else i for w, i in zip(x.words, x.ids)]
-            x.twin = heads[key] > 1 and bool(key)
-            if wanted and len(x.words) < 30:
-                x.title = key in wanted or x.site and x.marker in ("", "h") and _key(_SUFFIX.sub("", x.text)) in wanted
-            at = end
+        if wanted:
+            for x, key in zip(lines, keys):
+                if len(x.words) < 30:
+                    x.title = key in wanted or x.site and x.marker in ("", "h") and _key(_SUFFIX.sub("", x.text)) in wanted
         return lines
 
 

@@ -18,8 +18,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     both = pages.select(F.lit("page_records").alias("table_name"), F.col("page_id").alias("rec_id"), "content", "title", "url").unionByName(
         results.select(F.lit("crawl_results").alias("table_name"), F.col("result_id").alias("rec_id"), "content", "title", "url")
     )
-    keyed = both.select(F.struct("table_name", "rec_id").alias("key"), "content", "title", "url")
-    marked = boilerplate.main_lines(keyed, "key", _line_model(pages, results))
+    keyed = both.select(F.struct("table_name", "rec_id").alias("key"), "content", "title", "url").where(F.length("content") > 0)
+    common = line_training.vocabulary(keyed)
+    sheets = stage(line_training.describe(keyed, common, "key"))  # each page is described once, for training and marking
+    marked = line_training.mark(sheets, "key", line_training.train_on(sheets, common))
     return marked.where(~F.col("main")).select("key.table_name", "key.rec_id", "line_no").distinct()
 
 

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from skeinery.llm import boilerplate, encode, line_training, lines, maxflow, queries, residue, sentences, split
+from skeinery.session import stage
 
 
 # --- minimum cut -----------------------------------------------------------------------------------------
@@ -91,6 +92,50 @@ def test_whole_table_training_equals_one_fit(spark):
     assert line_training.train(df.limit(0)).label("any text", None, None)[1] in ([True], [False])
 
 
+def odd_pages():
+    pages = [(c, t, u) for c, t, u, _ in made_pages(12, 8)]
+    rng = random.Random(3)
+    mixed = []
+    for (c, t, u), (d, t2, u2) in zip(pages, reversed(pages)):
+        ls = c.split("\n") + d.split("\n")[:5] + ["TODO: {{name}}", "| a | b |", "1. one", "2. two", "Home > News > Day", "[all](x)", "Größe ΑΣ Σ 12h 中文。", ""]
+        rng.shuffle(ls)
+        mixed.append(("\n".join(["```", *ls[:3], "```", *ls[3:]]), rng.choice([t, t2, None, ""]), rng.choice([u, u2, None])))
+    return pages, mixed + [("word", None, None), (" \n\n ", "t", "u"), ("", "t", "u"), (None, "t", "u"), ("a " * 70_000, "t", "")]
+
+
+def test_pages_are_described_once(spark, monkeypatch):
+    """Marking reads the sheets that training was made of, and marks as the lines themselves are marked."""
+    pages, odd = odd_pages()
+    model = boilerplate.train_model(pages)
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pages + odd)], "id long, content string, title string, url string").repartition(3)
+    described = line_training.describe(df, model.common, "id").persist()
+    want = {tuple(r) for r in boilerplate.main_lines(df, "id", model).collect()}
+    got = line_training.mark(described, "id", model).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    monkeypatch.setattr(line_training, "describe", None)
+    assert line_training.train_on(described, model.common).common == model.common
+
+
+def test_equal_lines_are_packed_once(spark):
+    """Copies of a table add no lines to the fit but weigh in it; blocks are the same as files and as a table."""
+    pages, _ = odd_pages()
+    df = spark.createDataFrame(pages, "content string, title string, url string")
+    common = line_training.vocabulary(df)
+    once, thrice = (line_training.labelled(stage(line_training.describe(x, common))) for x in (df, df.unionByName(df).unionByName(df)))
+    key = ["shape", "y", "words"]
+    assert once.groupBy(key).count().where("count > 1").count() == 0
+    assert {(*r[:2], bytes(r.words), 3 * r.n) for r in once.select(*key, "n").collect()} == {(*r[:2], bytes(r.words), r.n) for r in thrice.select(*key, "n").collect()}
+    packed = line_training.blocks(once, common)
+    files = line_training._stored(packed)
+    assert files.columns == ["file"]
+    assert abs(line_training.fit(files) - line_training.fit(packed)).max() < 1e-9
+
+
+def test_tokens_of_ascii():
+    for text in ("", "a B", "x1y22 : /a?b", "\x00\x1c\tA_b-c's {d}", "é a", "A" * 300 + " 7"):
+        assert boilerplate.tokens_of(text) == boilerplate._TOKEN.findall(text.lower())
+
+
 def test_every_page_has_a_say(spark, tmp_path):
     """A notice on few pages of a large table is known only if none is left out of the training."""
     pages = [(c, t, u) for c, t, u, _ in made_pages(hosts=40, per_host=75)]
